@@ -52,11 +52,20 @@ def radius(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
-def zone_id(x: Column, y: Column) -> Column:
-    """One of the 14 court zones; null outside the half court or without coordinates."""
-    inside = x.between(X_MIN, X_MAX) & y.between(Y_MIN, Y_MAX)
-    r = radius(x, y)
-    theta = F.degrees(F.atan2(F.abs(y), x))
+def floor_angle(x: Column, y: Column) -> Column:
+    """Degrees from the right baseline, points behind the rim mirrored to the front."""
+    return F.degrees(F.atan2(F.abs(y), x))
+
+
+def zone_id(x: Column, y: Column, r: Column | None = None, theta: Column | None = None) -> Column:
+    """One of the 14 court zones; null outside the half court or without coordinates.
+
+    Distance and angle may be given as columns of an earlier projection, which
+    then computes them once for all comparisons.
+    """
+    inside = (x >= X_MIN) & (x <= X_MAX) & (y >= Y_MIN) & (y <= Y_MAX)
+    r = radius(x, y) if r is None else r
+    theta = floor_angle(x, y) if theta is None else theta
     third = 26.67
 
     def by_angle(steps: list[tuple[float, str]], last: str) -> Column:
@@ -83,25 +92,37 @@ def zone_id(x: Column, y: Column) -> Column:
     return F.when(inside, zone)
 
 
-def hex_cell(x: Column, y: Column) -> Column:
-    """Struct (lattice, i, j) of the hexagon a point falls in; null off the grid.
+def hex_grid(x: Column, y: Column) -> tuple[Column, Column]:
+    """Court coordinates in units of the hexagon lattice."""
+    return (x - F.lit(HEX_X0)) / F.lit(HEX_DX), (y - F.lit(HEX_Y0)) / F.lit(HEX_DY)
+
+
+def with_hex_cell(df: DataFrame, x: Column, y: Column) -> DataFrame:
+    """Add lattice, i, j of the hexagon a point falls in; null off the grid.
 
     Two offset rectangular lattices cover the court; the nearer centre wins.
+    Each step is a projection of its own, so nothing is computed twice.
     """
-    u = (x - F.lit(HEX_X0)) / F.lit(HEX_DX)
-    v = (y - F.lit(HEX_Y0)) / F.lit(HEX_DY)
-    ai, aj = F.rint(u), F.rint(v)
-    bi, bj = F.floor(u).cast("double"), F.floor(v).cast("double")
+    u, v = hex_grid(x, y)
+    df = df.withColumns({"_u": u, "_v": v})
+    u, v = F.col("_u"), F.col("_v")
+    df = df.withColumns({"_ai": F.rint(u), "_aj": F.rint(v), "_bi": F.floor(u).cast("double"), "_bj": F.floor(v).cast("double")})
+    ai, aj, bi, bj = (F.col(c) for c in ("_ai", "_aj", "_bi", "_bj"))
     to_a = (u - ai) * (u - ai) + F.lit(3.0) * (v - aj) * (v - aj)
     du, dv = u - bi - F.lit(0.5), v - bj - F.lit(0.5)
     to_b = du * du + F.lit(3.0) * dv * dv
-    on_a = ai.between(0, HEX_COLUMNS) & aj.between(0, HEX_ROWS)
-    on_b = bi.between(0, HEX_COLUMNS - 1) & bj.between(0, HEX_ROWS - 1)
-
-    def cell(name: str, i: Column, j: Column) -> Column:
-        return F.struct(F.lit(name).alias("lattice"), i.cast("int").alias("i"), j.cast("int").alias("j"))
-
-    return F.when(to_a < to_b, F.when(on_a, cell("A", ai, aj))).otherwise(F.when(on_b, cell("B", bi, bj)))
+    df = df.withColumn("_near_a", to_a < to_b)
+    on_a = (ai >= 0) & (ai <= HEX_COLUMNS) & (aj >= 0) & (aj <= HEX_ROWS)
+    on_b = (bi >= 0) & (bi <= HEX_COLUMNS - 1) & (bj >= 0) & (bj <= HEX_ROWS - 1)
+    near_a = F.col("_near_a")
+    df = df.withColumn("lattice", F.when(near_a & on_a, "A").when(~near_a & on_b, "B"))
+    placed = F.col("lattice")
+    return df.withColumns(
+        {
+            "i": F.when(placed == "A", ai).when(placed == "B", bi).cast("int"),
+            "j": F.when(placed == "A", aj).when(placed == "B", bj).cast("int"),
+        }
+    ).drop("_u", "_v", "_ai", "_aj", "_bi", "_bj", "_near_a")
 
 
 def hex_center(lattice: Column, i: Column, j: Column) -> tuple[Column, Column]:

@@ -27,9 +27,14 @@ def lenient_double(df: DataFrame, name: str) -> Column:
         # the cast accepts Java literals such as "5d"; those are not numbers here
         java_literal = F.trim(c).rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?[dDfF]$")
         c = F.when(~java_literal, c).try_cast("double")
-        return F.when(~F.isnan(c), c)
+        return without_nan(c)
     c = c.try_cast("double")
-    return F.when(~F.isnan(c), c) if kind in ("double", "float") else c
+    return without_nan(c) if kind in ("double", "float") else c
+
+
+def without_nan(c: Column) -> Column:
+    """NaN as null, evaluating the column once."""
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def text_or(df: DataFrame, name: str, default: str = "") -> Column:
@@ -44,7 +49,7 @@ def null_nan(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
     return df.select(
         *[
-            F.when(~F.isnan(F.col(c)), F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c)
+            without_nan(F.col(c)).alias(c) if kinds[c] in ("double", "float") else F.col(c)
             for c in df.columns
         ]
     )

@@ -18,7 +18,8 @@ def season_start_year(day: Column) -> Column:
 
 def season_label(start_year: Column) -> Column:
     """1999 -> '1999-00'."""
-    return F.format_string("%d-%02d", start_year, F.pmod(start_year + 1, F.lit(100)))
+    end = F.lpad(F.pmod(start_year + 1, F.lit(100)).cast("string"), 2, "0")
+    return F.concat(start_year.cast("string"), F.lit("-"), end)
 
 
 def season_of(day: Column) -> Column:

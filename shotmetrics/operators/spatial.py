@@ -26,8 +26,17 @@ def located(shots: DataFrame) -> DataFrame:
 
 
 def with_zone(shots: DataFrame) -> DataFrame:
-    """Located rows with their court zone (null outside the half court)."""
-    return located(shots).withColumn("zone_id", court.zone_id(F.col("plot_x"), F.col("plot_y")))
+    """Add the court zone: null outside the half court or without coordinates."""
+    placed = shots.withColumns({"_x": lenient_double(shots, "loc_x"), "_y": lenient_double(shots, "loc_y")})
+    x, y = F.col("_x"), F.col("_y")
+    measured = placed.withColumns({"_r": court.radius(x, y), "_theta": court.floor_angle(x, y)})
+    zone = court.zone_id(x, y, F.col("_r"), F.col("_theta"))
+    return measured.withColumn("zone_id", zone).drop("_x", "_y", "_r", "_theta")
+
+
+# Rows that fall in no cell are grouped under null and dropped by their count
+# afterwards: a filter on the cell itself would be pushed to the scan and
+# compute the cell a second time.
 
 
 def zone_values(
@@ -39,13 +48,14 @@ def zone_values(
     at least one of them has the value.
     """
     by = by or []
-    zoned = with_zone(shots).where(F.col("zone_id").isNotNull())
+    zoned = with_zone(shots)
+    attempts = F.count("zone_id").alias("attempts")
     if value is None:
-        counted = zoned.groupBy(*by, "zone_id").agg(F.count(F.lit(1)).alias("attempts"))
+        counted = zoned.groupBy(*by, "zone_id").agg(attempts).where(F.col("attempts") > 0)
         return counted.withColumn("value", F.col("attempts").cast("double"))
     v = lenient_double(zoned, value)
-    means = zoned.groupBy(*by, "zone_id").agg(F.count(F.lit(1)).alias("attempts"), exact_mean(v).alias("value"))
-    return means.where((F.col("attempts") >= min_attempts) & F.col("value").isNotNull())
+    means = zoned.groupBy(*by, "zone_id").agg(attempts, exact_mean(v).alias("value"))
+    return means.where((F.col("attempts") >= max(min_attempts, 1)) & F.col("value").isNotNull())
 
 
 def zone_map(shots: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
@@ -89,16 +99,18 @@ def value_range(
 def hex_map(shots: DataFrame, value: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Per hexagon: attempts, or the mean of a column over the shots that have it."""
     by = by or []
-    placed = located(shots)
-    placed = placed.withColumn("_cell", court.hex_cell(F.col("plot_x"), F.col("plot_y")))
-    placed = placed.where(F.col("_cell").isNotNull())
-    key = [F.col("_cell.lattice").alias("lattice"), F.col("_cell.i").alias("i"), F.col("_cell.j").alias("j")]
+    typed = shots.withColumns({"_x": lenient_double(shots, "loc_x"), "_y": lenient_double(shots, "loc_y")})
+    placed = court.with_hex_cell(typed, F.col("_x"), F.col("_y"))
+    key = ["lattice", "i", "j"]
     if value is None:
-        cells = placed.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("attempts"))
+        cells = placed.groupBy(*by, *key).agg(F.count("lattice").alias("attempts"))
+        cells = cells.where(F.col("attempts") > 0)
     else:
-        v = lenient_double(placed, value)
-        cells = placed.withColumn("_v", v).where(F.col("_v").isNotNull())
-        cells = cells.groupBy(*by, *key).agg(F.count(F.lit(1)).alias("attempts"), exact_mean(F.col("_v")).alias("value"))
+        placed = placed.withColumn("_v", lenient_double(placed, value))
+        cells = placed.groupBy(*by, *key).agg(
+            F.count("lattice").alias("_placed"), F.count("_v").alias("attempts"), exact_mean(F.col("_v")).alias("value")
+        )
+        cells = cells.where((F.col("_placed") > 0) & (F.col("attempts") > 0)).drop("_placed")
     x, y = court.hex_center(F.col("lattice"), F.col("i"), F.col("j"))
     return cells.withColumns({"hex_x": x, "hex_y": y})
 
@@ -113,13 +125,20 @@ def with_location_buckets(scored: DataFrame) -> DataFrame:
     ).dropna(subset=["loc_x", "loc_y", "shot_made_flag", "p_make"])
     x, y = F.col("loc_x"), F.col("loc_y")
     feet = F.coalesce(F.col("shot_distance"), court.radius(x, y) / F.lit(10.0))
-    return typed.withColumns(
+    measured = typed.withColumns({"_feet": feet, "_degrees": F.degrees(F.atan2(y, x))})
+    return measured.withColumns(
         {
-            "distance_bucket": court.distance_bucket(feet),
-            "angle_bucket": court.angle_bucket(F.degrees(F.atan2(y, x))),
+            "distance_bucket": court.distance_bucket(F.col("_feet")),
+            "angle_bucket": court.angle_bucket(F.col("_degrees")),
             "made_minus_expected": F.col("shot_made_flag") - F.col("p_make"),
         }
-    )
+    ).drop("_feet", "_degrees")
+
+
+def _label_pairs(spark) -> DataFrame:
+    """The 35 pairs of distance and angle label."""
+    pairs = [(d, a) for d in court.DISTANCE_LABELS for a in court.ANGLE_LABELS]
+    return spark.createDataFrame(pairs, "distance_bucket string, angle_bucket string")
 
 
 def location_buckets(scored: DataFrame, min_attempts: int = 15) -> DataFrame:
@@ -128,17 +147,16 @@ def location_buckets(scored: DataFrame, min_attempts: int = 15) -> DataFrame:
     Every distance and angle pair is present before the attempts filter, the
     empty ones with 0 attempts.
     """
-    rows = with_location_buckets(scored).where(F.col("distance_bucket").isNotNull() & F.col("angle_bucket").isNotNull())
-    found = rows.groupBy("distance_bucket", "angle_bucket").agg(
-        F.count(F.lit(1)).alias("_n"),
+    key = ["distance_bucket", "angle_bucket"]
+    in_both = F.col("distance_bucket").isNotNull() & F.col("angle_bucket").isNotNull()
+    found = with_location_buckets(scored).groupBy(*key).agg(
+        F.count_if(in_both).alias("_n"),
         mean_int(F.col("shot_made_flag")).alias("_fg"),
         exact_mean(F.col("p_make")).alias("_xfg"),
-    )
-    # the 35 label pairs, made from two fixed lists
-    pairs = scored.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(v) for v in court.DISTANCE_LABELS])).alias("distance_bucket")
-    ).select("distance_bucket", F.explode(F.array(*[F.lit(v) for v in court.ANGLE_LABELS])).alias("angle_bucket"))
-    full = pairs.join(found, ["distance_bucket", "angle_bucket"], "left")
+    ).where(F.col("_n") > 0)
+    # united rather than joined: a join would test the buckets for null at the scan
+    full = _label_pairs(scored.sparkSession).unionByName(found, allowMissingColumns=True)
+    full = full.groupBy(*key).agg(*[F.max(c).alias(c) for c in ("_n", "_fg", "_xfg")])
     hundred = F.lit(100.0)
     return full.select(
         "distance_bucket",

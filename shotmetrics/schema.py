@@ -127,6 +127,6 @@ def conform(df: DataFrame) -> DataFrame:
             continue
         c = F.col(field.name)
         if have[field.name] in ("double", "float"):
-            c = F.when(~F.isnan(c), c)
+            c = F.nanvl(c, F.lit(None).cast("double"))
         out.append(c.try_cast(field.dataType).alias(field.name))
     return df.select(*out)

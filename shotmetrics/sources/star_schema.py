@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.seasons import season_label, season_start_year
 from ..schema import SHOT_COLUMNS
@@ -18,8 +19,20 @@ _HASH_FACTOR = 2654435761
 _HASH_MOD = 1000003
 
 
+# part and supplier of a line as one number, the part in front
+_PAIR = 10**18
+# table schemas already read, so that each query does not open the files again
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    known = _SCHEMAS.get((spark.sparkContext.applicationId, path))
+    if known is not None:
+        return spark.read.schema(known).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[spark.sparkContext.applicationId, path] = df.schema
+    return df
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +42,16 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     down to one row per line number.
     """
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    first = items.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("f"))
-    return first.select("l_orderkey", "l_linenumber", "f.l_partkey", "f.l_suppkey")
+    # a number, unlike a struct, can be compared inside a hash aggregate
+    part = F.col("l_partkey").cast("decimal(19,0)") * F.lit(_PAIR).cast("decimal(19,0)")
+    pair = (part + F.col("l_suppkey").cast("decimal(18,0)")).cast("decimal(38,0)")
+    first = items.groupBy("l_orderkey", "l_linenumber").agg(F.min(pair).alias("f"))
+    return first.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.expr(f"cast(f div {_PAIR} as bigint)").alias("l_partkey"),
+        F.expr(f"cast(f % {_PAIR} as bigint)").alias("l_suppkey"),
+    )
 
 
 def _orders(spark: SparkSession, sf_dir: str, players: str) -> DataFrame:

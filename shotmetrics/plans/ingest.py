@@ -51,11 +51,13 @@ def season_rows(
     return standardize(raw, season, season_type)
 
 
-def first_players(players: DataFrame, max_players: int | None = None) -> DataFrame:
+def first_players(
+    players: DataFrame, max_players: int | None = None, order: list[str] | None = None
+) -> DataFrame:
     """All players, or the first so many by name."""
     if max_players is None:
         return players
-    return players.orderBy("player_name", "player_id").limit(max_players)
+    return players.orderBy(*(order or ["player_name", "player_id"])).limit(max_players)
 
 
 def ensure_season(

@@ -34,7 +34,7 @@ def _date(df: DataFrame) -> Column:
     if dict(df.dtypes).get("game_date") != "string":
         return F.col("game_date").try_cast("date")
     text = F.trim("game_date")
-    return F.coalesce(F.try_to_date(text, F.lit("yyyy-MM-dd")), F.try_to_date(text, F.lit("yyyyMMdd")))
+    return F.coalesce(F.try_to_date(text, "yyyy-MM-dd"), F.try_to_date(text, "yyyyMMdd"))
 
 
 def standardize(

@@ -117,15 +117,15 @@ def count_at_most(c: Column, edges: list[float]) -> Column:
 
 
 # Abramowitz and Stegun, formula 7.1.26.
-_ERF_P = 0.3275911
-_ERF_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
+ERF_P = 0.3275911
+ERF_A = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
 
 
 def two_sided_p(z: Column) -> Column:
     """Two-sided normal p-value, 1 - erf(|z|/sqrt 2), to about 1.5e-7."""
     x = F.abs(z) / F.lit(2.0**0.5)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(_ERF_P) * x)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * x)
     series = F.lit(0.0)
-    for a in reversed(_ERF_A):
+    for a in reversed(ERF_A):
         series = (series + F.lit(a)) * t
     return series * F.exp(-x * x)

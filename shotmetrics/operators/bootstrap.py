@@ -20,7 +20,7 @@ from ..functions.numeric import exact_weighted_sum, round_half_away, two_sided_p
 _PER_DIGEST = 4
 # cumulative Poisson(1) probabilities up to a count of 12, beyond which a
 # 32-bit uniform cannot tell
-_POISSON_STEPS = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12)]
+POISSON_STEPS = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(12)]
 
 
 def replicate_sums(
@@ -53,7 +53,7 @@ def replicate_sums(
         ((F.col("_d.hash").cast("double") + F.lit(0.5)) / F.lit(4294967296.0)).alias("_u"),
     )
     copies = F.lit(0)
-    for step in _POISSON_STEPS:
+    for step in POISSON_STEPS:
         copies = copies + (F.col("_u") >= F.lit(step)).cast("int")
     rows = rows.withColumn("_copies", copies).where((F.col("_copies") > 0) & (F.col("replicate") < replicates))
     return rows.groupBy("replicate").agg(

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import checkpointed
 from ..operators.reports import join_predictions
 from ..sources.star_schema import predictions, shots, with_closed_form_score
 
@@ -41,6 +42,14 @@ def scored(spark: SparkSession, sf_dir: str, players: str = "nation") -> DataFra
     return with_closed_form_score(shots(spark, sf_dir, players))
 
 
+def stored_once(df: DataFrame) -> DataFrame:
+    """Derived rows that a query reads several times, written once in between.
+
+    With real data these are stored tables.
+    """
+    return checkpointed(df)
+
+
 def fixture_sql(players: str = "nation") -> str:
     """CTEs shots and predictions; start of a WITH clause."""
     if players == "nation":

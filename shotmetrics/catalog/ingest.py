@@ -10,7 +10,7 @@ from ..plans.ingest import first_players
 from ..sources import tables
 from ..sources.landing import standardize
 from ..sources.star_schema import shots, table, with_closed_form_score
-from .base import fixture_sql, query
+from .base import fixture_sql, query, stored_once
 
 # A raw dump made of the order lines: upper-case names, everything text, and
 # some values as a careless exporter would write them.
@@ -129,7 +129,7 @@ SELECT DISTINCT * FROM twice t WHERE loc_x IS NOT NULL AND game_event_id IS NOT
     AND s.loc_x = t.loc_x AND s.loc_y = t.loc_y AND s.shot_made_flag = t.shot_made_flag)""",
 )
 def upsert_new_rows(spark, sf_dir):
-    rows = shots(spark, sf_dir)
+    rows = stored_once(shots(spark, sf_dir))
     return tables.new_rows(_incoming(rows), _stored(rows)).select(
         "season", "season_type", "player_id", "player_name", "game_id", "game_event_id", "game_date",
         "loc_x", "loc_y", "shot_made_flag", "shot_distance", "shot_type",

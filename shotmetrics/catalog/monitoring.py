@@ -9,7 +9,8 @@ from ..functions.seasons import month_key
 from ..operators import calibration, drift
 from ..plans.monitoring import METRICS, baseline_record, monitoring_report
 from ..sources.artifacts import history_series, latest_report
-from .base import fixture_sql, joined, query, rounded_sql, units_sql
+from ..sources.star_schema import predictions
+from .base import fixture_sql, joined, query, rounded_sql, stored_once, units_sql
 
 R6 = rounded_sql
 
@@ -97,11 +98,15 @@ def calibration_curve(spark, sf_dir):
 
 # -- drift ---------------------------------------------------------------------
 
+_ALL = [*drift.NUMERIC_DRIFT, *drift.CATEGORY_DRIFT]
 _WINDOW = "recent AS (SELECT * FROM scored WHERE game_date >= (SELECT max(game_date) FROM scored) - 30)"
 
 
-def _window(rows):
-    return drift.recent_window(rows, 30)
+def _drift_rows(spark, sf_dir):
+    """What monitoring reads, and its recent part."""
+    columns = ["game_date", "season", "season_type", "p_make", "shot_made_flag", *_ALL]
+    rows = stored_once(joined(spark, sf_dir).select(*columns))
+    return drift.recent_window(rows, 30), rows
 
 
 @query(
@@ -110,7 +115,7 @@ def _window(rows):
 )
 def recent_window(spark, sf_dir):
     columns = ["shot_id", "game_date", "p_make", "shot_made_flag", "loc_x", "loc_y", "shot_distance"]
-    return _window(joined(spark, sf_dir)).select(*columns)
+    return drift.recent_window(joined(spark, sf_dir), 30, dates=predictions(spark, sf_dir)).select(*columns)
 
 
 def _numeric_psi_sql(feature: str) -> str:
@@ -141,23 +146,17 @@ def _psi_sql(features: list[str]) -> str:
 
 @query("psi_numeric", f"{fixture_sql()}, {_WINDOW}, {_psi_sql(drift.NUMERIC_DRIFT)} SELECT * FROM psi")
 def psi_numeric(spark, sf_dir):
-    rows = joined(spark, sf_dir)
-    return drift.psi_numeric(_window(rows), rows)
+    return drift.psi_numeric(*_drift_rows(spark, sf_dir))
 
 
 @query("psi_categorical", f"{fixture_sql()}, {_WINDOW}, {_psi_sql(drift.CATEGORY_DRIFT)} SELECT * FROM psi")
 def psi_categorical(spark, sf_dir):
-    rows = joined(spark, sf_dir)
-    return drift.psi_categorical(_window(rows), rows)
-
-
-_ALL = [*drift.NUMERIC_DRIFT, *drift.CATEGORY_DRIFT]
+    return drift.psi_categorical(*_drift_rows(spark, sf_dir))
 
 
 @query("drift_rows", f"{fixture_sql()}, {_WINDOW}, {_psi_sql(_ALL)} SELECT * FROM psi")
 def drift_rows(spark, sf_dir):
-    rows = joined(spark, sf_dir)
-    return drift.drift_rows(drift.drift_map(drift.drift_report(_window(rows), rows)))
+    return drift.drift_rows(drift.drift_map(drift.drift_report(*_drift_rows(spark, sf_dir))))
 
 
 @query(
@@ -208,7 +207,7 @@ _BEST = f"best AS ({_LARGEST}), season_rows AS (SELECT s.* FROM scored s JOIN be
 SELECT season, season_type, n_predictions AS n_shots, {_ROUNDED} FROM cal, best""",
 )
 def baseline_record_(spark, sf_dir):
-    rows = joined(spark, sf_dir)
+    rows = stored_once(joined(spark, sf_dir).select("season", "season_type", "p_make", "shot_made_flag", *_ALL))
     season, season_type, _ = drift.largest_season(rows).first()
     record = baseline_record(rows, season, season_type)
     return record.drop("numeric_distributions", "category_distributions")
@@ -227,7 +226,7 @@ SELECT 'all' AS season, 'Regular Season' AS season_type, {_ROUNDED}, n_predictio
 FROM cal, b, late""",
 )
 def monitoring_report_(spark, sf_dir):
-    return monitoring_report(joined(spark, sf_dir), baseline_brier=0.2).drop("timestamp", "drift_report")
+    return monitoring_report(_drift_rows(spark, sf_dir)[1], baseline_brier=0.2).drop("timestamp", "drift_report")
 
 
 def _history(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import court
 from ..operators import spatial
 from ..operators.features import with_made_minus_expected
-from .base import FG, XFG, fixture_sql, query, rounded_sql, scored
+from .base import FG, XFG, fixture_sql, query, rounded_sql, scored, stored_once
 
 
 def _rows(spark, sf_dir):
@@ -95,9 +95,10 @@ UNION ALL
 SELECT 'frequency', lo, CASE WHEN abs(lo - hi) <= 1e-8 + 1e-5 * abs(hi) THEN lo + 1e-6 ELSE hi END FROM b""",
 )
 def value_range(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    smoe = spatial.value_range(spatial.zone_map(rows, "smoe"), center_zero=True)
-    counts = spatial.value_range(spatial.zone_map(rows, "frequency"))
+    # one pass over the shots; both maps come from the zone sums
+    zones = stored_once(spatial.zone_map(_rows(spark, sf_dir), "smoe"))
+    smoe = spatial.value_range(zones, center_zero=True)
+    counts = spatial.value_range(zones.withColumn("value", F.col("attempts").cast("double")))
     named = smoe.select(F.lit("smoe").alias("map"), "*").unionByName(counts.select(F.lit("frequency").alias("map"), "*"))
     return named
 

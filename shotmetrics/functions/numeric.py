@@ -25,7 +25,8 @@ def lenient_double(df: DataFrame, name: str) -> Column:
     c = F.col(name)
     if kind == "string":
         # the cast accepts Java literals such as "5d"; those are not numbers here
-        java_literal = F.trim(c).rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?[dDfF]$")
+        ends_so = F.substring(F.rtrim(c), -1, 1).isin("d", "D", "f", "F")
+        java_literal = ends_so & F.trim(c).rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?[dDfF]$")
         c = F.when(~java_literal, c).try_cast("double")
         return without_nan(c)
     c = c.try_cast("double")
@@ -83,12 +84,21 @@ def exact_sum(c: Column, unit: int = PROBABILITY_UNIT) -> Column:
     return high * F.lit(float(_RADIX)) + low
 
 
-def exact_weighted_sum(c: Column, weight: Column, unit: int = PROBABILITY_UNIT) -> Column:
-    """Aggregate: order-independent sum of value times a whole-number weight."""
+def _weighted_units(c: Column, weight: Column, unit: int) -> Column:
     u = _units(c, unit)
     high = F.sum(F.shiftright(u, _RADIX_BITS) * weight).cast("double")
     low = F.sum(u.bitwiseAND(F.lit(_RADIX - 1)) * weight).cast("double")
-    return (high * F.lit(float(_RADIX)) + low) / F.lit(float(unit))
+    return high * F.lit(float(_RADIX)) + low
+
+
+def exact_weighted_sum(c: Column, weight: Column, unit: int = PROBABILITY_UNIT) -> Column:
+    """Aggregate: order-independent sum of value times a whole-number weight."""
+    return _weighted_units(c, weight, unit) / F.lit(float(unit))
+
+
+def exact_weighted_mean(c: Column, weight: Column, unit: int = PROBABILITY_UNIT) -> Column:
+    """Aggregate: mean of counted values, none of them null."""
+    return F.try_divide(_weighted_units(c, weight, unit), F.sum(weight).cast("double") * F.lit(float(unit)))
 
 
 def exact_mean(c: Column, unit: int = PROBABILITY_UNIT) -> Column:

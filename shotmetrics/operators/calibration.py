@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import PROBABILITY_UNIT, clip, count_at_most, exact_mean, exact_sum, mean_int
-from .ranking import exact_quantiles, quantile_steps
+from ..functions.numeric import PROBABILITY_UNIT, clip, count_at_most, exact_mean, exact_sum, exact_weighted_mean
+from .lineage import checkpointed
+from .ranking import quantile_steps, quantiles_of_counts
 
 
 def _log_loss(p: Column, y: Column) -> Column:
@@ -56,13 +57,16 @@ def calibration_curve(df: DataFrame, p: str, y: str, bins: int = 12) -> DataFram
 
     A probability's bin is the number of inner edges strictly below it.
     """
-    known = df.select(F.col(p).cast("double").alias("_p"), F.col(y).alias("_y")).dropna()
-    edges = exact_quantiles(known, "_p", quantile_steps(bins)).select("quantiles").scalar()
+    known = df.select(F.col(p).cast("double").alias("_p"), F.col(y).cast("bigint").alias("_y")).dropna()
+    # one pass over the rows; the bins are then formed of counted probabilities
+    counted = checkpointed(known.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_made")))
+    edges = quantiles_of_counts(counted, "_p", "_n", quantile_steps(bins)).select("quantiles").scalar()
     below = F.lit(0)
     for i in range(1, bins):
         below = below + (edges[i] < F.col("_p")).cast("int")
-    return known.groupBy(below.alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"),
-        exact_mean(F.col("_p")).alias("mean_predicted"),
-        mean_int(F.col("_y")).alias("observed_rate"),
+    n = F.sum("_n").cast("double")
+    return counted.groupBy(below.alias("bin")).agg(
+        F.sum("_n").alias("n"),
+        exact_weighted_mean(F.col("_p"), F.col("_n")).alias("mean_predicted"),
+        (F.sum("_made").cast("double") / n).alias("observed_rate"),
     )

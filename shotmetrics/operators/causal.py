@@ -277,8 +277,10 @@ def sensitivity_table(scored_panel: DataFrame, gamma_max: float = 3.0, gamma_ste
         .otherwise(F.col("actual_pps")).alias("outcome"),
         F.col("treatment"),
     )
-    counted = shrunk.groupBy("gamma", "outcome").agg(
-        F.count_if(F.col("treatment") == 1).alias("_t"), F.count(F.lit(1)).alias("_n")
+    counted = checkpointed(
+        shrunk.groupBy("gamma", "outcome").agg(
+            F.count_if(F.col("treatment") == 1).alias("_t"), F.count(F.lit(1)).alias("_n")
+        )
     )
     ranked = running_totals(counted, "outcome", ["_t", "_n"], by=["gamma"])
     average_rank = F.col("before__n") + (F.col("_n") + 1) / F.lit(2.0)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import DISTANCE_UNIT, exact_mean, round_half_away
-from .ranking import exact_quantiles, quantile_steps
+from ..functions.numeric import DISTANCE_UNIT, exact_weighted_mean, round_half_away, without_nan
+from .lineage import checkpointed
+from .ranking import quantile_steps, quantiles_of_counts
 
 # Monitored features and alert thresholds.
 NUMERIC_DRIFT = ["loc_x", "loc_y", "shot_distance"]
@@ -23,29 +24,45 @@ def drift_status(psi: Column) -> Column:
     return F.when(psi < PSI_OK, "ok").when(psi < PSI_WARN, "warn").otherwise("alert")
 
 
-def _long_numbers(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, x) for every non-null number: one scan serves all features."""
-    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]
-    long = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.feature", "p.x")
-    return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
+def _long(df: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
+    """(feature, x, category) for every known value: one scan serves all features."""
+    pairs = [
+        F.struct(F.lit(f).alias("feature"), without_nan(F.col(f).cast("double")).alias("x"), F.lit(None).cast("string").alias("category"))
+        for f in numbers
+    ] + [
+        F.struct(F.lit(f).alias("feature"), F.lit(None).cast("double").alias("x"), F.col(f).cast("string").alias("category"))
+        for f in categories
+    ]
+    return df.select(F.inline(F.array(*pairs))).where(F.col("x").isNotNull() | F.col("category").isNotNull())
 
 
-def _long_categories(df: DataFrame, features: list[str]) -> DataFrame:
-    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("category")) for f in features]
-    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.feature", "p.category").where(
-        F.col("category").isNotNull()
+def _counts(recent: DataFrame, baseline: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
+    """(feature, x, category, e, a): occurrences of each value in baseline and recent.
+
+    Features without a value on one of the sides are left out.
+    """
+    both = _long(recent, numbers, categories).withColumn("late", F.lit(1)).unionByName(
+        _long(baseline, numbers, categories).withColumn("late", F.lit(0))
     )
+    counted = both.groupBy("feature", "x", "category").agg(
+        F.sum(1 - F.col("late")).alias("e"), F.sum("late").alias("a")
+    )
+    counted = checkpointed(counted)
+    sides = counted.groupBy("feature").agg(F.sum("e").alias("_e"), F.sum("a").alias("_a"))
+    # one row per feature
+    usable = sides.where((F.col("_e") > 0) & (F.col("_a") > 0)).select("feature")
+    return counted.join(F.broadcast(usable), "feature", "left_semi")
 
 
-def _both(recent: DataFrame, baseline: DataFrame) -> DataFrame:
-    return recent.withColumn("is_recent", F.lit(1)).unionByName(baseline.withColumn("is_recent", F.lit(0)))
+def _shared(names: list[str], *frames: DataFrame) -> list[str]:
+    return [n for n in names if all(n in f.columns for f in frames)]
 
 
-def _psi(counts: DataFrame, features: list[str]) -> DataFrame:
+def _psi(buckets: DataFrame, features: list[str]) -> DataFrame:
     """PSI per feature from (feature, bucket, e, a) counts.
 
-    A feature lacking rows on one side scores 0; a bucket missing on one side
-    enters with the share floor.
+    A feature without counts scores 0; a bucket missing on one side enters
+    with the share floor.
     """
     whole = Window.partitionBy("feature")
 
@@ -53,68 +70,56 @@ def _psi(counts: DataFrame, features: list[str]) -> DataFrame:
         part = F.try_divide(F.col(side).cast("double"), F.sum(side).over(whole).cast("double"))
         return F.greatest(F.coalesce(part, F.lit(0.0)), F.lit(SHARE_FLOOR))
 
-    shares = counts.select("feature", share("e").alias("e"), share("a").alias("a"))
+    shares = buckets.select("feature", share("e").alias("e"), share("a").alias("a"))
     term = (F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))
     scored = shares.groupBy("feature").agg(round_half_away(F.sum(term), 6).alias("psi"))
-    names = _feature_names(counts, features)
+    names = buckets.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     psi = F.coalesce(F.col("psi"), F.lit(0.0))
     return names.join(scored, "feature", "left").select("feature", psi.alias("psi"), drift_status(psi).alias("status"))
 
 
-def _feature_names(df: DataFrame, features: list[str]) -> DataFrame:
-    """The fixed list of feature names as rows."""
-    return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
-
-
-def _with_both_sides(counts: DataFrame, rows: list[str]) -> DataFrame:
-    """Drop features that have no row on one of the sides (before any clipping)."""
-    whole = Window.partitionBy("feature")
-    e_all, a_all = (F.sum(r).over(whole) for r in rows)
-    return counts.withColumns({"_e_all": e_all, "_a_all": a_all}).where(
-        (F.col("_e_all") > 0) & (F.col("_a_all") > 0)
-    ).drop("_e_all", "_a_all")
-
+def _numeric_buckets(counts: DataFrame, bins: int) -> DataFrame:
+    """Counts per bin, the bins cut at the baseline's quantiles.
 
-def psi_numeric(
-    recent: DataFrame, baseline: DataFrame, features: list[str] | None = None, bins: int = 10
-) -> DataFrame:
-    """PSI over bins cut at the baseline's quantiles.
-
-    Recent values outside the baseline's range count in no bin. A share is
-    taken of the values inside the bins.
+    Values outside the baseline's range count in no bin, so shares are taken
+    of the values inside.
     """
-    features = [f for f in features or NUMERIC_DRIFT if f in recent.columns and f in baseline.columns]
-    base = _long_numbers(baseline, features)
-    edges = exact_quantiles(base, "x", quantile_steps(bins), by=["feature"]).select("feature", "quantiles")
-    rows = _both(_long_numbers(recent, features), base)
+    numbers = counts.where(F.col("x").isNotNull())
+    edges = quantiles_of_counts(numbers, "x", "e", quantile_steps(bins), by=["feature"]).select("feature", "quantiles")
     # one row per feature
-    rows = rows.join(F.broadcast(edges), "feature")
+    rows = numbers.join(F.broadcast(edges), "feature")
     q, x = F.col("quantiles"), F.col("x")
-    inside = (x >= q[0] - F.lit(1e-6)) & (x <= q[bins] + F.lit(1e-6))
+    rows = rows.where((x >= q[0] - F.lit(1e-6)) & (x <= q[bins] + F.lit(1e-6)))
     number = F.lit(0)
     for i in range(1, bins):
         number = number + (x >= q[i]).cast("int")
-    binned = rows.select("feature", "is_recent", F.when(inside, number).alias("bucket"))
-    counts = binned.groupBy("feature", "bucket").agg(
-        F.sum(1 - F.col("is_recent")).alias("e"), F.sum("is_recent").alias("a")
-    )
-    usable = _with_both_sides(counts, ["e", "a"]).where(F.col("bucket").isNotNull())
-    return _psi(usable, features)
+    return rows.groupBy("feature", number.cast("string").alias("bucket")).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+
+
+def _category_buckets(counts: DataFrame) -> DataFrame:
+    return counts.where(F.col("category").isNotNull()).select("feature", F.col("category").alias("bucket"), "e", "a")
+
+
+def psi_numeric(
+    recent: DataFrame, baseline: DataFrame, features: list[str] | None = None, bins: int = 10
+) -> DataFrame:
+    """(feature, psi, status) of numeric features, over baseline-quantile bins."""
+    features = _shared(features or NUMERIC_DRIFT, recent, baseline)
+    return _psi(_numeric_buckets(_counts(recent, baseline, features, []), bins), features)
 
 
 def psi_categorical(recent: DataFrame, baseline: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """PSI over the categories seen on either side."""
-    features = [f for f in features or CATEGORY_DRIFT if f in recent.columns and f in baseline.columns]
-    rows = _both(_long_categories(recent, features), _long_categories(baseline, features))
-    counts = rows.groupBy("feature", "category").agg(
-        F.sum(1 - F.col("is_recent")).alias("e"), F.sum("is_recent").alias("a")
-    )
-    return _psi(_with_both_sides(counts, ["e", "a"]), features)
+    """(feature, psi, status) of categories, over those seen on either side."""
+    features = _shared(features or CATEGORY_DRIFT, recent, baseline)
+    return _psi(_category_buckets(_counts(recent, baseline, [], features)), features)
 
 
-def drift_report(recent: DataFrame, baseline: DataFrame) -> DataFrame:
-    """(feature, psi, status) of all monitored features."""
-    return psi_numeric(recent, baseline).unionByName(psi_categorical(recent, baseline))
+def drift_report(recent: DataFrame, baseline: DataFrame, bins: int = 10) -> DataFrame:
+    """(feature, psi, status) of all monitored features, scanning each side once."""
+    numbers, categories = _shared(NUMERIC_DRIFT, recent, baseline), _shared(CATEGORY_DRIFT, recent, baseline)
+    counts = _counts(recent, baseline, numbers, categories)
+    buckets = _numeric_buckets(counts, bins).unionByName(_category_buckets(counts))
+    return _psi(buckets, [*numbers, *categories])
 
 
 def drift_map(report: DataFrame) -> DataFrame:
@@ -134,24 +139,22 @@ def drift_rows(reports: DataFrame, column: str = "drift_report") -> DataFrame:
 
 def category_shares(df: DataFrame, features: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Share of each category among the feature's non-null values."""
-    counts = _long_categories(df, features or CATEGORY_DRIFT).groupBy("feature", "category").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    counts = _long(df, [], features or CATEGORY_DRIFT).groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("feature")).cast("double")
     share = round_half_away(F.col("n").cast("double") / total, digits)
     return counts.select("feature", "category", "n", share.alias("share"))
 
 
 def feature_profile(df: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Mean, population SD and five percentiles per numeric feature."""
-    long = _long_numbers(df, features or NUMERIC_DRIFT)
-    m1, m2 = exact_mean(F.col("x"), DISTANCE_UNIT), exact_mean(F.col("x") * F.col("x"), SQUARE_UNIT)
-    moments = long.groupBy("feature").agg(m1.alias("mean"), m2.alias("_m2"))
-    # np.percentile divides the percent by 100
-    probs = [p / 100 for p in PROFILE_PERCENTS]
-    quantiles = exact_quantiles(long, "x", probs, by=["feature"])
-    joined = moments.join(quantiles, "feature")
-    return joined.select(
+    """Mean, population SD and five percentiles per numeric feature, from counted values."""
+    long = _long(df, features or NUMERIC_DRIFT, [])
+    counted = checkpointed(long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n")))
+    x, n = F.col("x"), F.col("n")
+    moments = counted.groupBy("feature").agg(
+        exact_weighted_mean(x, n, DISTANCE_UNIT).alias("mean"), exact_weighted_mean(x * x, n, SQUARE_UNIT).alias("_m2")
+    )
+    quantiles = quantiles_of_counts(counted, "x", "n", [p / 100 for p in PROFILE_PERCENTS], by=["feature"])
+    return moments.join(quantiles, "feature").select(
         "feature",
         "mean",
         F.sqrt(F.greatest(F.col("_m2") - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("std"),
@@ -165,14 +168,28 @@ def largest_season(shots: DataFrame) -> DataFrame:
     return counts.orderBy(F.col("n_shots").desc(), "season", "season_type").limit(1)
 
 
-def recent_window(scored: DataFrame, days: int | None = 30, season: str | None = None, season_type: str | None = None) -> DataFrame:
-    """Rows of the last days before the newest game in scope (all rows if days is 0)."""
-    scope = scored
-    if season is not None:
-        scope = scope.where(F.col("season") == season)
-        if season_type is not None:
-            scope = scope.where(F.col("season_type") == season_type)
+def recent_window(
+    scored: DataFrame,
+    days: int | None = 30,
+    season: str | None = None,
+    season_type: str | None = None,
+    dates: DataFrame | None = None,
+) -> DataFrame:
+    """Rows of the last days before the newest game in scope (all dated rows if days is 0).
+
+    The newest game is looked up in ``dates`` when given, such as the
+    prediction table, which spares joining it for that.
+    """
+
+    def scope(df: DataFrame) -> DataFrame:
+        if season is not None:
+            df = df.where(F.col("season") == season)
+            if season_type is not None:
+                df = df.where(F.col("season_type") == season_type)
+        return df
+
     if not days:
-        return scope.where(F.col("game_date").isNotNull())
-    newest = scope.select(F.date_sub(F.max("game_date"), days).alias("d")).scalar()
-    return scope.where(F.col("game_date") >= newest)
+        return scope(scored).where(F.col("game_date").isNotNull())
+    source = scored if dates is None else dates
+    newest = scope(source).select(F.date_sub(F.max("game_date"), days).alias("d")).scalar()
+    return scope(scored).where(F.col("game_date") >= newest)

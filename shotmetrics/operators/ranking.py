@@ -10,11 +10,10 @@ driver sees only the range bounds.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import without_nan
 from .lineage import checkpointed
 
 RANGES = 32
@@ -24,7 +23,7 @@ def _range_number(bounds: dict[tuple, list[float]], value: str, by: list[str]) -
     """Range of a value: how many bounds of its group lie at or below it."""
 
     def number(edges: list[float]) -> Column:
-        known = F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>")
+        known = F.expr(f"cast(array({', '.join(f'{e!r}D' for e in edges)}) as array<double>)")
         return F.size(F.filter(known, lambda e: e <= F.col(value)))
 
     out = F.lit(0)
@@ -41,12 +40,12 @@ def running_totals(
 ) -> DataFrame:
     """Add, per total, what lies strictly below the row's value and in all.
 
-    ``counted`` has one row per (by, value). ``by`` must have few distinct
-    values (features, sensitivity steps), as the bounds of each are fitted
-    like those of a quantile discretizer and sent with the plan.
+    ``counted`` has one row per (by, value) and is read several times, so it
+    should be checkpointed. ``by`` must have few distinct values (features,
+    sensitivity steps), as the bounds of each are fitted like those of a
+    quantile discretizer and sent with the plan.
     """
     by = by or []
-    counted = checkpointed(counted)
     steps = [i / ranges for i in range(1, ranges)]
     fitted = counted.groupBy(*by).agg(F.percentile_approx(value, steps, 1000).alias("_edges"))
     bounds = {
@@ -85,30 +84,37 @@ def _interpolated(low: Column, high: Column, t: Column) -> Column:
     return F.when(t >= 0.5, high - span * (F.lit(1.0) - t)).otherwise(low + span * t)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """Linearly interpolated quantiles: columns by..., quantiles (array), n.
+def quantiles_of_counts(
+    counted: DataFrame, value: str, count: str, probs: list[float], by: list[str] | None = None
+) -> DataFrame:
+    """Linearly interpolated quantiles of counted values: by..., quantiles (array), n.
 
-    Null and NaN values are left out; a group without values gives no row.
+    ``counted`` as for ``running_totals``; rows counted 0 are left out.
     """
     by = by or []
-    v = F.col(value).cast("double")
-    counted = (
-        df.select(*by, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    placed = running_totals(counted, "_v", ["_n"], by)
+    present = counted.where(F.col(count) > 0).select(*by, F.col(value).alias("_v"), F.col(count).alias("_n"))
+    placed = running_totals(present, "_v", ["_n"], by)
     first, last = F.col("before__n"), F.col("before__n") + F.col("_n") - 1
     picks = []
     for i, q in enumerate(probs):
         at = F.lit(float(q)) * (F.col("all__n") - 1).cast("double")
         for side, index in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            picks.append(F.max(F.when(index.between(first, last), F.col("_v"))).alias(f"{side}{i}"))
+            picks.append(F.max(F.when((index >= first) & (index <= last), F.col("_v"))).alias(f"{side}{i}"))
     found = placed.groupBy(*by).agg(F.max("all__n").alias("n"), *picks)
     out = []
     for i, q in enumerate(probs):
         at = F.lit(float(q)) * (F.col("n") - 1).cast("double")
         out.append(_interpolated(F.col(f"lo{i}"), F.col(f"hi{i}"), at - F.floor(at)))
-    return found.select(*by, F.array(*out).alias("quantiles"), "n")
+    # a global aggregate of nothing is a row without values
+    return found.where(F.col("n").isNotNull()).select(*by, F.array(*out).alias("quantiles"), "n")
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """``quantiles_of_counts`` of a column; null and NaN values are left out."""
+    by = by or []
+    known = df.select(*by, without_nan(F.col(value).cast("double")).alias("_v")).where(F.col("_v").isNotNull())
+    counted = checkpointed(known.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    return quantiles_of_counts(counted, "_v", "_n", probs, by)
 
 
 def scored_positions(df: DataFrame, score: str, id_col: str, ties: list[str], tiles: int, spread: int = 64) -> DataFrame:
@@ -156,7 +162,3 @@ def quantile_steps(bins: int) -> list[float]:
     """0, 1/bins, ..., 1 as equal steps from 0; the last is exactly 1."""
     step = 1.0 / bins
     return [i * step for i in range(bins)] + [1.0]
-
-
-def is_finite(x: float | None) -> bool:
-    return x is not None and math.isfinite(x)

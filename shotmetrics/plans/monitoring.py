@@ -76,15 +76,17 @@ def monitoring_report(
     season_type: str = REGULAR_SEASON,
     window_days: int | None = 30,
     baseline_shots: DataFrame | None = None,
+    dates: DataFrame | None = None,
 ) -> DataFrame:
     """One report row on the newest days of the scored shots in scope.
 
     Drift is measured against ``baseline_shots``, by default all scored shots
-    of the same season (of all seasons without one). Without any row in the
-    window the metrics are null and the message says so.
+    of the same season (of all seasons without one); ``dates`` is as for
+    ``recent_window``. Without any row in the window the metrics are null and
+    the message says so.
     """
     recent = checkpointed(
-        recent_window(scored, window_days, season, season_type).select(
+        recent_window(scored, window_days, season, season_type, dates).select(
             "p_make", "shot_made_flag", *NUMERIC_DRIFT, *CATEGORY_DRIFT
         )
     )

@@ -41,11 +41,13 @@ def new_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     for c in OPTIONAL_KEY:
         complete = complete & F.col(c).isNotNull()
     rest = [c for c in SHOT_COLUMNS if c not in SHOT_KEY]
+    # the hash leads the key so that sorting compares one number, not strings
+    key = ["_hash", *SHOT_KEY]
+    digest = F.xxhash64(*SHOT_KEY).alias("_hash")
     # combined before the shuffle, so copies of a row never meet in one task
-    single = rows.where(complete).groupBy(*SHOT_KEY).agg(F.min(F.struct(*rest)).alias("_r"))
-    single = single.select(*SHOT_KEY, "_r.*").select(*SHOT_COLUMNS)
-    known = stored.select(*SHOT_KEY)
-    return single.join(known, SHOT_KEY, "left_anti").select(*SHOT_COLUMNS).unionByName(rows.where(~complete))
+    single = rows.where(complete).select(digest, "*").groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r"))
+    added = single.join(stored.select(digest, *SHOT_KEY), key, "left_anti").select(*SHOT_KEY, "_r.*")
+    return added.select(*SHOT_COLUMNS).unionByName(rows.where(~complete))
 
 
 def unscored(shots: DataFrame, predictions: DataFrame) -> DataFrame:

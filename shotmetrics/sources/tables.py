@@ -111,9 +111,9 @@ def save_bucketed(df: DataFrame, name: str, buckets: int) -> None:
     df.write.mode("overwrite").bucketBy(buckets, "shot_id").sortBy("shot_id").saveAsTable(name)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _remove(spark: SparkSession, uri: str) -> None:
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
@@ -182,8 +182,9 @@ class ShotStore:
         if rows.isEmpty():
             # an overwrite with no row would leave the old partition in place
             part = in_season(self.shots(), season, season_type)
-            for folder in {r[0].rsplit("/", 1)[0] for r in part.select(F.input_file_name()).distinct().collect()}:
-                _remove(self.spark, folder)
+            folder = F.regexp_replace(F.input_file_name(), "/[^/]*$", "")
+            for row in part.select(folder).distinct().collect():
+                _remove(self.spark, row[0])
             return
         out = rows.sortWithinPartitions("player_id").write.mode("overwrite")
         out.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONING).parquet(self.shots_path)

@@ -222,6 +222,7 @@ _RANKSUM = f"""{_SCORED}, shrunk AS (
 ), tests AS (
   SELECT gamma, sum(CASE WHEN treatment = 1 THEN r ELSE 0 END) AS w, CAST(sum(treatment) AS DOUBLE) AS n1,
     CAST(sum(1 - treatment) AS DOUBLE) AS n2 FROM ranks GROUP BY 1
+  HAVING sum(treatment) >= 5 AND sum(1 - treatment) >= 5
 ), zs AS (
   SELECT gamma, (w - n1 * (n1 + n2 + 1) / 2.0) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12.0) AS z FROM tests
 ), ps AS (SELECT gamma, {p_value_sql('z')} AS p FROM zs)"""

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import court, seasons
 from ..functions.numeric import round_half_away
 from ..operators import features
+from ..plans.exports import shot_extract
 from ..sources.star_schema import shots, table
-from .base import fixture_sql, query, rounded_sql
+from .base import fixture_sql, query, rounded_sql, scored
+from .spatial import ZONE_SQL
 
 _THREE = """CASE WHEN shot_type ILIKE '%3pt%' OR shot_zone_basic LIKE '%3%' OR shot_zone_range LIKE '%24+%'
     OR (shot_distance >= 22 AND loc_y <= 140 AND abs(loc_x) >= 220) OR shot_distance >= 23.75 THEN 1 ELSE 0 END"""
@@ -123,3 +125,15 @@ SELECT shot_id, game_id,
 )
 def group_split(spark, sf_dir):
     return features.with_split(shots(spark, sf_dir)).select("shot_id", "game_id", "is_test")
+
+
+@query(
+    "shot_extract",
+    f"""{fixture_sql()}
+SELECT season, season_type, player_id, player_name, CAST(NULL AS BIGINT) AS team_id, CAST(NULL AS VARCHAR) AS team_name,
+  game_id, game_event_id, game_date, loc_x, loc_y, shot_made_flag, shot_distance, shot_type,
+  CAST(NULL AS VARCHAR) AS action_type, shot_zone_basic, shot_zone_area, shot_zone_range, p_make,
+  shot_made_flag - p_make AS made_minus_expected, {_THREE} AS is_3, {ZONE_SQL} AS zone_id FROM scored""",
+)
+def shot_extract_(spark, sf_dir):
+    return shot_extract(scored(spark, sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import DISTANCE_UNIT, exact_weighted_mean, round_half_away, without_nan
@@ -64,13 +64,15 @@ def _psi(buckets: DataFrame, features: list[str]) -> DataFrame:
     A feature without counts scores 0; a bucket missing on one side enters
     with the share floor.
     """
-    whole = Window.partitionBy("feature")
+    totals = buckets.groupBy(F.col("feature").alias("_f")).agg(F.sum("e").alias("_e"), F.sum("a").alias("_a"))
+    # one row per feature
+    whole = buckets.join(F.broadcast(totals), F.col("feature") == F.col("_f"))
 
     def share(side: str) -> Column:
-        part = F.try_divide(F.col(side).cast("double"), F.sum(side).over(whole).cast("double"))
+        part = F.try_divide(F.col(side).cast("double"), F.col(f"_{side}").cast("double"))
         return F.greatest(F.coalesce(part, F.lit(0.0)), F.lit(SHARE_FLOOR))
 
-    shares = buckets.select("feature", share("e").alias("e"), share("a").alias("a"))
+    shares = whole.select("feature", share("e").alias("e"), share("a").alias("a"))
     term = (F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))
     scored = shares.groupBy("feature").agg(round_half_away(F.sum(term), 6).alias("psi"))
     names = buckets.sparkSession.createDataFrame([(f,) for f in features], "feature string")
@@ -139,10 +141,13 @@ def drift_rows(reports: DataFrame, column: str = "drift_report") -> DataFrame:
 
 def category_shares(df: DataFrame, features: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Share of each category among the feature's non-null values."""
-    counts = _long(df, [], features or CATEGORY_DRIFT).groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("feature")).cast("double")
-    share = round_half_away(F.col("n").cast("double") / total, digits)
-    return counts.select("feature", "category", "n", share.alias("share"))
+    long = _long(df, [], features or CATEGORY_DRIFT)
+    counts = checkpointed(long.groupBy("feature", "category").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy(F.col("feature").alias("_f")).agg(F.sum("n").cast("double").alias("_all"))
+    # one row per feature
+    whole = counts.join(F.broadcast(totals), F.col("feature") == F.col("_f"))
+    share = round_half_away(F.col("n").cast("double") / F.col("_all"), digits)
+    return whole.select("feature", "category", "n", share.alias("share"))
 
 
 def feature_profile(df: DataFrame, features: list[str] | None = None) -> DataFrame:

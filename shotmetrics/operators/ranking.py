@@ -125,6 +125,8 @@ def scored_positions(df: DataFrame, score: str, id_col: str, ties: list[str], ti
     the ``ties`` columns; each such cell is numbered on its own and shifted by
     the counts of the cells above it.
     """
+    # read for the counts and for the rows
+    df = checkpointed(df)
     keyed = df.withColumn("_cell", F.pmod(F.col(id_col), F.lit(spread)))
     cells = keyed.groupBy(score, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     # bounded: possible scores times spread

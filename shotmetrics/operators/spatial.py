@@ -64,14 +64,19 @@ def zone_map(shots: DataFrame, kind: str, by: list[str] | None = None) -> DataFr
 
 
 def every_zone(values: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """All 14 zones per group, with null where the map has no value."""
+    """All 14 zones per group, with null where the map has no value.
+
+    A group's zones, 14 at most, are gathered in one row and looked up by
+    name, so the map is neither computed twice nor joined with itself.
+    """
     by = by or []
-    names = F.explode(F.array(*[F.lit(z) for z in court.ZONE_NAMES])).alias("zone_id")
-    if by:
-        frame = values.select(*by).distinct().select(*by, names)
-    else:
-        frame = values.sparkSession.range(1).select(names)
-    return frame.join(values, [*by, "zone_id"], "left")
+    rest = [c for c in values.columns if c not in by and c != "zone_id"]
+    entry = F.struct("zone_id", F.struct(*rest).alias("_v"))
+    gathered = values.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_zones"))
+    names = F.array(*[F.lit(z) for z in court.ZONE_NAMES])
+    spread = gathered.select(*by, "_zones", F.explode(names).alias("zone_id"))
+    found = spread.withColumn("_v", F.try_element_at("_zones", F.col("zone_id")))
+    return found.select(*by, "zone_id", *[F.col(f"_v.{c}").alias(c) for c in rest])
 
 
 def value_range(

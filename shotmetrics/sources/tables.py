@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import checkpointed
@@ -158,23 +158,30 @@ class ShotStore:
     def predictions(self) -> DataFrame:
         return self.spark.read.schema(PREDICTION_SCHEMA).parquet(self.predictions_path)
 
-    def _append(self, df: DataFrame, path: str) -> int:
-        """Append by season partitions, each sorted by player; returns the rows written."""
+    def _append(self, df: DataFrame, path: str, first_id: int | None = None) -> int:
+        """Append by season partitions, each file sorted by player; returns the rows written.
+
+        Rows are gathered by season first, so that a task does not open a file
+        in every partition; a season too large for one task is split. Ids are
+        given in the writing task itself: unique across tasks, above all
+        stored ones, and fixed once written, also when a task runs twice.
+        """
         seen = Observation()
-        rows = df.withColumn("created_at", F.current_timestamp()).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.sortWithinPartitions(*PARTITIONING, "player_id").write.mode("append").partitionBy(*PARTITIONING).parquet(path)
+        rows = df.hint("rebalance", *PARTITIONING).sortWithinPartitions(*PARTITIONING, "player_id")
+        if first_id is not None:
+            rows = rows.withColumn("shot_id", F.monotonically_increasing_id() + F.lit(first_id))
+        rows = rows.withColumn("created_at", F.current_timestamp()).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.mode("append").partitionBy(*PARTITIONING).parquet(path)
         return int(seen.get["n"])
 
-    def _next_id(self) -> Column:
-        """Ids above all stored ones; unique across tasks, fixed once written."""
+    def _next_id(self) -> int:
         top = self.shots().agg(F.max("shot_id")).first()[0]
-        return F.monotonically_increasing_id() + F.lit(0 if top is None else top + 1)
+        return 0 if top is None else top + 1
 
     def upsert(self, frame: DataFrame) -> int:
         """Add the rows not stored yet; returns how many were added."""
         self.initialize()
-        rows = new_rows(frame, self.shots()).withColumn("shot_id", self._next_id())
-        return self._append(rows, self.shots_path)
+        return self._append(new_rows(frame, self.shots()), self.shots_path, self._next_id())
 
     def _rewrite(self, season: str, season_type: str, rows: DataFrame) -> None:
         """Make these rows the whole partition of a season and type."""
@@ -204,7 +211,8 @@ class ShotStore:
         self.initialize()
         part = in_season(self.shots(), season, season_type)
         others = part.join(players.select("player_id").distinct(), "player_id", "left_anti")
-        fresh = new_rows(frame, others).withColumns({"shot_id": self._next_id(), "created_at": F.current_timestamp()})
+        ids = F.monotonically_increasing_id() + F.lit(self._next_id())
+        fresh = new_rows(frame, others).withColumns({"shot_id": ids, "created_at": F.current_timestamp()})
         self._rewrite(season, season_type, others.unionByName(fresh))
 
     def player_shots(self, player_id: int, season: str, season_type: str = REGULAR_SEASON) -> DataFrame:

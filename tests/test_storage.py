@@ -222,3 +222,22 @@ def test_resolve_names_lists_five_of_many(spark):
 def test_players_with_games(spark):
     log = spark.createDataFrame([("7", "Ann"), ("7", "Ann"), ("x", "No"), ("8", None)], "PLAYER_ID string, PLAYER_NAME string")
     assert sorted(map(tuple, players.players_with_games(log).collect())) == [(7, "Ann"), (8, "Unknown")]
+
+
+def test_season_export(spark, scored_rows, tmp_path):
+    from shotmetrics.plans.exports import export_season
+    from shotmetrics.schema import SHOT_COLUMNS
+
+    paths = export_season(scored_rows, str(tmp_path / "out"), 1997)
+    back = spark.read.option("header", True).csv(paths["shots"])
+    assert back.columns == [*SHOT_COLUMNS, "p_make", "made_minus_expected", "is_3", "zone_id"]
+    assert back.count() == scored_rows.where("season = '1997-98' and season_type = 'Regular Season'").count()
+    assert spark.read.option("header", True).csv(paths["leaderboard"]).count() == 25
+
+
+def test_append_writes_few_files(spark, store, scored_rows):
+    store.upsert(scored_rows.drop("shot_id", "p_make"))
+    stored = store.shots()
+    files = stored.select(F.input_file_name()).distinct().count()
+    assert files == stored.select("season", "season_type").distinct().count()
+    assert stored.select("shot_id").distinct().count() == stored.count() == scored_rows.count()

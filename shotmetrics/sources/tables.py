@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import checkpointed
@@ -164,15 +164,19 @@ class ShotStore:
         Rows are gathered by season first, so that a task does not open a file
         in every partition; a season too large for one task is split. Ids are
         given in the writing task itself: unique across tasks, above all
-        stored ones, and fixed once written, also when a task runs twice.
+        stored ones, and fixed once written, also when a task runs twice. The
+        batch is checkpointed because it is counted first.
         """
-        seen = Observation()
-        rows = df.hint("rebalance", *PARTITIONING).sortWithinPartitions(*PARTITIONING, "player_id")
+        batch = checkpointed(df)
+        added = batch.count()
+        if not added:
+            return 0
+        rows = batch.hint("rebalance", *PARTITIONING).sortWithinPartitions(*PARTITIONING, "player_id")
         if first_id is not None:
             rows = rows.withColumn("shot_id", F.monotonically_increasing_id() + F.lit(first_id))
-        rows = rows.withColumn("created_at", F.current_timestamp()).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows = rows.withColumn("created_at", F.current_timestamp())
         rows.write.mode("append").partitionBy(*PARTITIONING).parquet(path)
-        return int(seen.get["n"])
+        return added
 
     def _next_id(self) -> int:
         top = self.shots().agg(F.max("shot_id")).first()[0]

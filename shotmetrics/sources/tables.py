@@ -46,7 +46,8 @@ def new_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     digest = F.xxhash64(*SHOT_KEY).alias("_hash")
     # combined before the shuffle, so copies of a row never meet in one task
     single = rows.where(complete).select(digest, "*").groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r"))
-    added = single.join(stored.select(digest, *SHOT_KEY), key, "left_anti").select(*SHOT_KEY, "_r.*")
+    known = stored.where(complete).select(digest, *SHOT_KEY)
+    added = single.join(known, key, "left_anti").select(*SHOT_KEY, "_r.*")
     return added.select(*SHOT_COLUMNS).unionByName(rows.where(~complete))
 
 
@@ -87,14 +88,19 @@ def season_counts(shots: DataFrame) -> DataFrame:
     return shots.groupBy("season", "season_type").agg(F.count(F.lit(1)).alias("n_shots"))
 
 
+def _with_shots(shots: DataFrame) -> DataFrame:
+    """Each stored player, season and type once, so that no player is a hot join key."""
+    return shots.select("player_id", *PARTITIONING).distinct()
+
+
 def present_players(players: DataFrame, shots: DataFrame) -> DataFrame:
     """Players (any frame with player_id, season, season_type) that have stored shots."""
-    return players.join(shots.select("player_id", *PARTITIONING), ["player_id", *PARTITIONING], "left_semi")
+    return players.join(_with_shots(shots), ["player_id", *PARTITIONING], "left_semi")
 
 
 def missing_players(players: DataFrame, shots: DataFrame) -> DataFrame:
     """Players without stored shots."""
-    return players.join(shots.select("player_id", *PARTITIONING), ["player_id", *PARTITIONING], "left_anti")
+    return players.join(_with_shots(shots), ["player_id", *PARTITIONING], "left_anti")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

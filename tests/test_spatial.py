@@ -138,3 +138,10 @@ def test_zone_counts_cover_the_half_court(scored_rows, scored_pandas, kind):
     rows = with_made_minus_expected(scored_rows)
     inside = scored_pandas.loc_x.between(-250, 250) & scored_pandas.loc_y.between(-47.5, 422.5)
     assert spatial.zone_map(rows, kind).agg(F.sum("attempts")).first()[0] == inside.sum()
+
+
+def test_distance_falls_back_to_the_coordinates(spark):
+    rows = spark.createDataFrame([(0.0, 170.0, None, 1, 0.5), (0.0, 170.0, 30.0, 1, 0.5)], "loc_x double, loc_y double, shot_distance double, shot_made_flag int, p_make double")
+    got = spatial.with_location_buckets(rows).collect()
+    assert [r.distance_bucket for r in got] == ["16-24 ft", "24-35 ft"]
+    assert {r.angle_bucket for r in got} == {"Right Wing"}

@@ -241,3 +241,10 @@ def test_append_writes_few_files(spark, store, scored_rows):
     files = stored.select(F.input_file_name()).distinct().count()
     assert files == stored.select("season", "season_type").distinct().count()
     assert stored.select("shot_id").distinct().count() == stored.count() == scored_rows.count()
+
+
+def test_present_and_missing_players(spark):
+    stored = frame(spark, [shot(i) for i in range(20)] + [shot(1, player=8, season="2024-25")])
+    asked = spark.createDataFrame([(7, SEASON, "Regular Season"), (8, SEASON, "Regular Season")], "player_id long, season string, season_type string")
+    assert [r.player_id for r in tables.present_players(asked, stored).collect()] == [7]
+    assert [r.player_id for r in tables.missing_players(asked, stored).collect()] == [8]

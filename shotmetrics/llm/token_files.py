@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,12 +28,19 @@ from .shared import parallel_parts, whole_text
 END_ID = 2
 SEGMENT_IDS = 1 << 18
 SAMPLE = 64
-CACHED_WORDS = 400_000
+# New words are no longer kept beyond this many; they are then asked each time.
+CACHED_WORDS = 1_500_000
+ENCODED_TOGETHER = 1_500
+# Fixed value: how the byte-level vocabulary writes a space.
+_SPACE = "\u0120"
 SEGMENT_SCHEMA = (
     "part int, segment int, n_docs int, n_ids bigint, id_bytes int, low_bits int, "
     "doc_ids array<bigint>, low binary, high binary, samples binary, ids binary"
 )
 
+_SEGMENT_NAMES = [field.split()[0] for field in SEGMENT_SCHEMA.split(", ")]
+_SEGMENT_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+
 
 def elias_fano(ends: np.ndarray, top: int) -> tuple[int, bytes, bytes, bytes]:
     """Low bit width, low bits, high bits and select samples of a rising sequence of values up to top."""
@@ -73,8 +82,11 @@ class WordEncoder:
     """Encodes texts with the tokenizer, asking it only once for each word.
 
     The byte-level pattern always starts a new piece at a space that a visible
-    character follows, and merges stay inside pieces; so ids of the parts
-    between such spaces, each with its space, join to the ids of the text.
+    character follows, and merges stay inside pieces; so ids of the words
+    between single spaces, each with its space, join to the ids of the text.
+    New words are asked together, as one text: each starts with the only one
+    of its ids that holds a space. Texts with other white space beside a space,
+    or none, are given to the tokenizer whole.
     """
 
     def __init__(self, path: str, id_type: str) -> None:
@@ -82,48 +94,48 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.id_type = id_type
-        self.first: dict[str, bytes] = {}
+        self.id_type = np.dtype(id_type)
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(_SPACE)]] = True
+        self.known: dict[str, bytes] = {}
 
-    def _ask(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.id_type).tobytes() for e in found]
 
-    def encode(self, text: str) -> bytes:
-        parts = text.split(" ")
-        if len(parts) < 8:
-            return self._ask([text])[0]
-        head, rest = parts[0], parts[1:]
-        known = self.first
-        new = set(rest).difference(known)
-        odd = [w for w in new if not w or w[0].isspace()]
-        if odd:
-            return self._joined(head, rest)
-        if new:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                new = set(rest)
-            asked = list(new)
-            known.update(zip(asked, self._ask([" " + w for w in asked]), strict=True))
-        return self._ask([head])[0] + b"".join(map(known.__getitem__, rest))
-
-    def _joined(self, head: str, rest: list[str]) -> bytes:
-        """As encode(), for texts with white space beside a space: such parts stay with the part before them."""
-        chunks = [[head]]
-        for word in rest:
-            if not word or word[0].isspace():
-                chunks[-1].append(word)
-            else:
-                chunks.append([word])
-        parts = [" ".join(c) for c in chunks]
-        known = self.first
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list(set(parts[1:]).difference(known))
-        asked = self._ask([parts[0], *[" " + w for w in new]])
-        fresh = dict(zip(new, asked[1:], strict=True))
-        known.update((w, ids) for w, ids in fresh.items() if len(w) < 64)
-        return asked[0] + b"".join(known[w] if w in known else fresh[w] for w in parts[1:])
+    def words(self, new: list[str]) -> list[bytes]:
+        """Ids of the words, each as after a space; no word is empty or begins with white space."""
+        if not new:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, self.id_type)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != len(new):
+            return self.whole([" " + w for w in new])
+        raw, cuts = ids.tobytes(), [*(starts * self.id_type.itemsize).tolist(), len(ids) * self.id_type.itemsize]
+        return [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        parts = pc.split_pattern(texts, " ")
+        ends = parts.offsets.to_pylist()
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        table = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, table, strict=True) if ids is None and w and not w[0].isspace()]
+        fresh = dict(zip(new, self.words(new), strict=True))
+        if len(self.known) < CACHED_WORDS:
+            self.known.update(fresh)
+        # What is left None is empty or begins with white space: such texts are encoded whole.
+        table = [fresh.get(w) if ids is None else ids for w, ids in zip(words, table, strict=True)]
+        pieces = list(map(table.__getitem__, coded.indices.to_pylist()))
+        heads = self.whole([words[i] for i in coded.indices.take(parts.offsets[:-1]).to_pylist()])
+        out: list[bytes | None] = []
+        for head, x, y in zip(heads, ends, ends[1:], strict=False):
+            rest = pieces[x + 1 : y]
+            out.append(None if None in rest else head + b"".join(rest))
+        odd = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(odd, self.whole(texts.take(pa.array(odd, pa.int64())).to_pylist()), strict=True):
+            out[i] = ids
+        return out
 
 
 def _encoder(path: str, id_type: str) -> WordEncoder:
@@ -133,13 +145,11 @@ def _encoder(path: str, id_type: str) -> WordEncoder:
     return cache.made[path, id_type]
 
 
-def _segment(part: int, number: int, doc_ids: list, sizes: list[int], blobs: list[bytes], id_bytes: int) -> dict:
-    ends = np.cumsum(sizes)
+def _segment(part: int, number: int, doc_ids: list, blobs: list[bytes], id_bytes: int) -> pa.RecordBatch:
+    ends = np.cumsum([len(b) // id_bytes for b in blobs])
     width, low, high, samples = elias_fano(ends, int(ends[-1]))
-    return {
-        "part": part, "segment": number, "n_docs": len(sizes), "n_ids": int(ends[-1]), "id_bytes": id_bytes,
-        "low_bits": width, "doc_ids": doc_ids, "low": low, "high": high, "samples": samples, "ids": b"".join(blobs),
-    }
+    row = [part, number, len(blobs), int(ends[-1]), id_bytes, width, doc_ids, low, high, samples, b"".join(blobs)]
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _SEGMENT_TYPES, strict=True)], _SEGMENT_NAMES)
 
 
 def token_segments(docs: DataFrame, tokenizer: str, id_bytes: int = 2, end_id: int = END_ID) -> DataFrame:
@@ -154,25 +164,25 @@ def token_segments(docs: DataFrame, tokenizer: str, id_bytes: int = 2, end_id: i
     rows = docs.select("doc_id", whole_text().alias("text")).repartitionByRange(parts, "doc_id")
     rows = rows.withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, id_type)
         end = np.array([end_id], id_type).tobytes()
-        number, held, doc_ids, sizes, blobs = 0, 0, [], [], []
-        part = 0
-        for frame in frames:
-            for doc_id, text, part in zip(frame["doc_id"].astype("Int64"), frame["text"], frame["part"], strict=True):
-                blob = encoder.encode(text) + end
-                doc_ids.append(None if doc_id is pd.NA else int(doc_id))
-                sizes.append(len(blob) // id_bytes)
-                blobs.append(blob)
-                held += sizes[-1]
-                if held >= SEGMENT_IDS:
-                    yield pd.DataFrame([_segment(part, number, doc_ids, sizes, blobs, id_bytes)])
-                    number, held, doc_ids, sizes, blobs = number + 1, 0, [], [], []
-        if sizes:
-            yield pd.DataFrame([_segment(part, number, doc_ids, sizes, blobs, id_bytes)])
-
-    return rows.mapInPandas(write, SEGMENT_SCHEMA)
+        number, held, part, doc_ids, blobs = 0, 0, 0, [], []
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, ENCODED_TOGETHER):
+                batch = whole_batch.slice(at, ENCODED_TOGETHER)
+                part = batch["part"][0].as_py()
+                for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
+                    doc_ids.append(doc_id)
+                    blobs.append(ids + end)
+                    held += len(ids) // id_bytes + 1
+                    if held >= SEGMENT_IDS:
+                        yield _segment(part, number, doc_ids, blobs, id_bytes)
+                        number, held, doc_ids, blobs = number + 1, 0, [], []
+        if blobs:
+            yield _segment(part, number, doc_ids, blobs, id_bytes)
+
+    return rows.mapInArrow(write, SEGMENT_SCHEMA)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_bytes: int = 2, end_id: int = END_ID) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shotmetrics.operators.lineage import ensure_checkpoint_dir
 
-from . import fingerprints, privacy, sharding, token_files
+from . import decontamination, fingerprints, mixing, near_dedup, privacy, sharding, token_files
 from .shared import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,64 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
+# The tree of the mixed corpus: families of sources, languages, sources. Weights are parts within a parent.
+_FAMILY = "CASE WHEN substr(md5(source), 1, 1) < '8' THEN 'forum' ELSE 'press' END"
+LEVELS = {"family": _FAMILY, "language": "lang", "origin": "source"}
+WEIGHTS = {"forum": 2, "press": 3, "*/en": 5, "*/de": 3, "*/fr": 3, "press/es": 2, "*/*/src0": 2}
+
+
+@query
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), LEVELS, WEIGHTS, budget=(3, 4), epochs=2, seed=SEED)
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "epoch", *LEVELS, "n_tokens", "quota")
+
+
+_TREE = list(LEVELS)
+
+
+def _level_sql(i: int) -> str:
+    """One level of the tree: the children's caps, weights and shares of their parent's budget."""
+    here, parent = ", ".join(_TREE[: i + 1]), ", ".join(_TREE[:i])
+    path = " || '/' || ".join(_TREE[: i + 1])
+    stars = "".join("*/" for _ in range(i))
+    weight = " ".join(f"WHEN {path} = '{k}' THEN {v}" for k, v in WEIGHTS.items() if k.count("/") == i and "*" not in k)
+    weight += " " + " ".join(f"WHEN '{stars}' || {_TREE[i]} = '{k}' THEN {v}" for k, v in WEIGHTS.items() if k.count("/") == i and "*" in k)
+    weight = f"CASE {weight} ELSE 1 END" if weight.strip() else "1"
+    by = f"PARTITION BY {parent}" if i else ""
+    join = f"JOIN b{i} USING ({parent})" if i else "CROSS JOIN b0"
+    before = f"({by} ORDER BY cap / weight, {_TREE[i]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+n{i} AS (SELECT {here}, sum(cap)::HUGEINT AS cap, ({weight})::HUGEINT AS weight FROM leaves GROUP BY {here}),
+m{i} AS (SELECT n{i}.*, budget, cap * (sum(weight) OVER ({by}) - coalesce(sum(weight) OVER {before}, 0))
+    <= (budget - coalesce(sum(cap) OVER {before}, 0)) * weight AS filled FROM n{i} {join}),
+b{i + 1} AS (SELECT {here}, CASE WHEN filled THEN cap ELSE least(cap,
+    ((budget - coalesce(sum(cap) FILTER (filled) OVER ({by}), 0)) * weight) // nullif(sum(weight) FILTER (NOT filled) OVER ({by}), 0)) END AS budget FROM m{i})"""
+
+
+ORACLES["op3_mix"] = f"""
+WITH d AS (SELECT doc_id, {_FAMILY} AS family,
+    coalesce(lang, '') AS language, coalesce(source, '') AS origin,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+leaves AS (SELECT family, language, origin, sum(n_tokens)::HUGEINT AS tokens, 2 * sum(n_tokens)::HUGEINT AS cap FROM d GROUP BY ALL),
+b0 AS (SELECT least(sum(tokens) * 3 // 4, sum(cap)) AS budget FROM leaves),{",".join(_level_sql(i) for i in range(len(_TREE)))},
+q AS (SELECT leaves.*, budget AS quota FROM b{len(_TREE)} JOIN leaves USING ({", ".join(_TREE)})),
+e AS (SELECT doc_id, epoch, family, language, origin, n_tokens, quota, least(tokens, quota - epoch * tokens) AS reach,
+    sum(n_tokens) OVER (PARTITION BY family, language, origin, epoch ORDER BY md5('{SEED}:' || epoch || ':' || doc_id), doc_id) AS reached
+    FROM d JOIN q USING (family, language, origin) CROSS JOIN (VALUES (0), (1)) t(epoch))
+SELECT doc_id, epoch::INT AS epoch, family, language, origin, n_tokens::BIGINT AS n_tokens, quota::BIGINT AS quota
+FROM e WHERE reached <= reach AND (reach > 0 OR epoch = 0)"""
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))

@@ -13,7 +13,8 @@ from tokenizers import Tokenizer
 
 from shotmetrics.llm import catalog, fingerprints, privacy, sharding, token_files
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, key string, shard int"
+from .helpers import frame
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 HARD = [
     "",
@@ -32,11 +33,6 @@ HARD = [
 ]
 
 
-def frame(spark, texts, ids=None):
-    ids = list(range(len(texts))) if ids is None else ids
-    return spark.createDataFrame([(i, t, None, "src0", 3, "clash", None, 7) for i, t in zip(ids, texts, strict=True)], SCHEMA)
-
-
 @pytest.fixture(scope="module")
 def small(spark, small_dir):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text").collect()]

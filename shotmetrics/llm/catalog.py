@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shotmetrics.operators.lineage import ensure_checkpoint_dir
 
-from . import decontamination, fingerprints, mixing, near_dedup, privacy, sharding, token_files
+from . import decontamination, fingerprints, mixing, near_dedup, privacy, sharding, token_files, toxicity
 from .shared import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,11 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.uniform_shards(docs, shards=16, seed=SEED).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    return toxicity.scored(spark, docs, index).select("doc_id", held_out, "score", "predicted", "neighbours", "cosines")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shotmetrics.operators.lineage import ensure_checkpoint_dir
 
-from . import decontamination, fingerprints, mixing, near_dedup, privacy, sharding, token_files, toxicity
+from . import decontamination, fingerprints, mixing, near_dedup, privacy, repeats, sharding, token_files, toxicity
 from .shared import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     held_out = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
     return toxicity.scored(spark, docs, index).select("doc_id", held_out, "score", "predicted", "neighbours", "cosines")
+
+
+@query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shotmetrics.operators.lineage import ensure_checkpoint_dir
 
-from . import decontamination, fingerprints, mixing, near_dedup, privacy, repeats, sharding, token_files, toxicity
+from . import decontamination, extraction, fingerprints, mixing, near_dedup, privacy, repeats, sharding, token_files, toxicity
 from .shared import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = extraction.extracted(spark, pages, extraction.fit(pages))
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

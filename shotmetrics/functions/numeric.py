@@ -76,35 +76,54 @@ def _units(c: Column, unit: int) -> Column:
     return F.rint(c * F.lit(float(unit))).try_cast("bigint")
 
 
-def exact_sum(c: Column, unit: int = PROBABILITY_UNIT) -> Column:
-    """Aggregate: order-independent sum, in multiples of 1/unit (a double)."""
-    u = _units(c, unit)
-    high = F.sum(F.shiftright(u, _RADIX_BITS)).cast("double")
-    low = F.sum(u.bitwiseAND(F.lit(_RADIX - 1))).cast("double")
-    return high * F.lit(float(_RADIX)) + low
+def _known(c: Column) -> Column:
+    """Whether a value takes part in sums and means: neither null nor NaN."""
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
 
 
-def _weighted_units(c: Column, weight: Column, unit: int) -> Column:
+def _sums(c: Column, weight: Column | None, unit: int) -> tuple[Column, Column]:
+    """Sum of the values that fit a long in units of 1/unit, in these units, and plain sum of the others.
+
+    Values too large for a long, infinity included, are added as doubles: none
+    is left out, only their last digits may depend on the order. Either sum is
+    null without such values.
+    """
     u = _units(c, unit)
-    high = F.sum(F.shiftright(u, _RADIX_BITS) * weight).cast("double")
-    low = F.sum(u.bitwiseAND(F.lit(_RADIX - 1)) * weight).cast("double")
-    return high * F.lit(float(_RADIX)) + low
+    high, low = F.shiftright(u, _RADIX_BITS), u.bitwiseAND(F.lit(_RADIX - 1))
+    large = F.when(u.isNull() & _known(c), c.cast("double"))
+    if weight is not None:
+        high, low, large = high * weight, low * weight, large * weight
+    return F.sum(high).cast("double") * F.lit(float(_RADIX)) + F.sum(low).cast("double"), F.sum(large)
+
+
+def _together(fixed: Column, large: Column) -> Column:
+    return F.when(large.isNull(), fixed).when(fixed.isNull(), large).otherwise(fixed + large)
+
+
+def exact_sum(c: Column, unit: int = PROBABILITY_UNIT) -> Column:
+    """Aggregate: order-independent sum, in multiples of 1/unit (a double)."""
+    fixed, large = _sums(c, None, unit)
+    return _together(fixed, large * F.lit(float(unit)))
 
 
 def exact_weighted_sum(c: Column, weight: Column, unit: int = PROBABILITY_UNIT) -> Column:
     """Aggregate: order-independent sum of value times a whole-number weight."""
-    return _weighted_units(c, weight, unit) / F.lit(float(unit))
+    fixed, large = _sums(c, weight, unit)
+    return _together(fixed / F.lit(float(unit)), large)
 
 
 def exact_weighted_mean(c: Column, weight: Column, unit: int = PROBABILITY_UNIT) -> Column:
-    """Aggregate: mean of counted values, none of them null."""
-    return F.try_divide(_weighted_units(c, weight, unit), F.sum(weight).cast("double") * F.lit(float(unit)))
+    """Aggregate: mean of counted values; null and NaN ones have no weight."""
+    heft = F.sum(F.when(_known(c), weight)).cast("double")
+    fixed, large = _sums(c, weight, unit)
+    return _together(F.try_divide(fixed, heft * F.lit(float(unit))), F.try_divide(large, heft))
 
 
 def exact_mean(c: Column, unit: int = PROBABILITY_UNIT) -> Column:
     """Aggregate: order-independent mean of the non-null values."""
-    u = _units(c, unit)
-    return F.try_divide(exact_sum(c, unit), F.count(u).cast("double") * F.lit(float(unit)))
+    n = F.count(F.when(_known(c), 1)).cast("double")
+    fixed, large = _sums(c, None, unit)
+    return _together(F.try_divide(fixed, n * F.lit(float(unit))), F.try_divide(large, n))
 
 
 def mean_flag(condition: Column) -> Column:

@@ -35,6 +35,8 @@ def replicate_sums(
         *[m.alias(name) for name, m in measures.items()],
     )
     blocks = math.ceil(replicates / _PER_DIGEST)
+    # spread first: each row becomes hundreds where it lies
+    slim = slim.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_key")
     drawn = slim.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     digest = F.md5(F.concat_ws("|", "_key", F.col("_block").cast("string"), F.lit(str(seed))))
     drawn = drawn.withColumn("_digest", digest)
@@ -75,12 +77,17 @@ def spread_of(estimates: DataFrame, column: str, at_least: int = 1) -> DataFrame
     return row.select(*[F.when(enough, F.col(c)).alias(c) for c in ("se", "ci_lower", "ci_upper")])
 
 
-def with_spread(point: DataFrame, estimate: str, spread: DataFrame, digits: int = 5) -> DataFrame:
-    """Add se, interval and two-sided p-value to a one-row estimate; round them."""
+def with_spread(
+    point: DataFrame, estimate: str, spread: DataFrame, digits: int = 5, flat_p: float | None = 1.0
+) -> DataFrame:
+    """Add se, interval and two-sided p-value to a one-row estimate; round them.
+
+    ``flat_p`` is the p-value of an estimate whose replicates do not differ.
+    """
     s = spread.select(F.struct("se", "ci_lower", "ci_upper")).scalar()
     full = point.withColumn("_s", s)
-    z = F.when(F.col("_s.se") > 0, F.col(estimate) / F.col("_s.se")).otherwise(0.0)
-    p = F.when(F.col("_s.se").isNotNull(), two_sided_p(z))
+    se = F.col("_s.se")
+    p = F.when(se > 0, two_sided_p(F.try_divide(F.col(estimate), se))).when(se == 0, F.lit(flat_p).cast("double"))
     return full.select(
         *[round_half_away(F.col(c), digits).alias(c) if c == estimate else F.col(c) for c in point.columns],
         *[round_half_away(F.col(f"_s.{c}"), digits).alias(c) for c in ("se", "ci_lower", "ci_upper")],

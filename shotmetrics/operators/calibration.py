@@ -11,12 +11,12 @@ from .ranking import quantile_steps, quantiles_of_counts
 
 
 def _log_loss(p: Column, y: Column) -> Column:
-    """Per-row log loss; y is 0 or 1, so only one of the two terms counts."""
-    return F.when(y == 1, -F.log(p)).otherwise(-F.log(F.lit(1.0) - p))
+    """Per-row log loss; y is 0 or 1, so only one of the two terms counts; null without a label."""
+    return F.when(y == 1, -F.log(p)).when(y.isNotNull(), -F.log(F.lit(1.0) - p))
 
 
 def binary_metrics(df: DataFrame, p: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Log loss and Brier score, probabilities limited to [1e-6, 1-1e-6]."""
+    """Log loss and Brier score over labelled rows, probabilities limited to [1e-6, 1-1e-6]."""
     prob = clip(F.col(p), 1e-6, 1 - 1e-6)
     miss = prob - F.col(y)
     return df.groupBy(*(by or [])).agg(

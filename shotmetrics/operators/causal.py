@@ -234,7 +234,7 @@ def difference_in_differences(panel: DataFrame, replicates: int = 500, seed: int
     groups = checkpointed(did_groups(panel))
     point = did_point(groups)
     spread = spread_of(did_replicates(groups, replicates, seed), "did_estimate", at_least=11)
-    out = with_spread(point, "did_estimate", spread)
+    out = with_spread(point, "did_estimate", spread, flat_p=None)
     cells = [name for _, _, name in _CELLS]
     empty = F.coalesce(*cells).isNull()
     return out.withColumns({c: round_half_away(F.col(c), 4) for c in cells}).withColumn(

@@ -39,7 +39,8 @@ def _long(df: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame
 def _counts(recent: DataFrame, baseline: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
     """(feature, x, category, e, a): occurrences of each value in baseline and recent.
 
-    Features without a value on one of the sides are left out.
+    Numbers without a value on one of the sides are left out. A category that
+    is new or has vanished altogether stays, as that is drift.
     """
     both = _long(recent, numbers, categories).withColumn("late", F.lit(1)).unionByName(
         _long(baseline, numbers, categories).withColumn("late", F.lit(0))
@@ -50,7 +51,7 @@ def _counts(recent: DataFrame, baseline: DataFrame, numbers: list[str], categori
     counted = checkpointed(counted)
     sides = counted.groupBy("feature").agg(F.sum("e").alias("_e"), F.sum("a").alias("_a"))
     # one row per feature
-    usable = sides.where((F.col("_e") > 0) & (F.col("_a") > 0)).select("feature")
+    usable = sides.where(F.col("feature").isin(categories) | (F.col("_e") > 0) & (F.col("_a") > 0)).select("feature")
     return counted.join(F.broadcast(usable), "feature", "left_semi")
 
 

@@ -4,8 +4,8 @@ Ranks, quantiles and rank sums all need "how many rows lie below this value".
 Here equal values are first collapsed to one counted row each (so a value held
 by a third of the table costs one row), the counted values are split into
 ranges of about equal size, and a running total inside each range is added to
-the total of the ranges below it. No task holds more than one range and the
-driver sees only the range bounds.
+the total of the ranges below it. No task holds more than one range and
+nothing comes to the driver but a count.
 """
 
 from __future__ import annotations
@@ -16,57 +16,46 @@ from pyspark.sql import functions as F
 from ..functions.numeric import without_nan
 from .lineage import checkpointed
 
-RANGES = 32
-
-
-def _range_number(bounds: dict[tuple, list[float]], value: str, by: list[str]) -> Column:
-    """Range of a value: how many bounds of its group lie at or below it."""
-
-    def number(edges: list[float]) -> Column:
-        known = F.expr(f"cast(array({', '.join(f'{e!r}D' for e in edges)}) as array<double>)")
-        return F.size(F.filter(known, lambda e: e <= F.col(value)))
-
-    out = F.lit(0)
-    for group, edges in bounds.items():
-        here = F.lit(True)
-        for name, key in zip(by, group, strict=True):
-            here = here & F.col(name).eqNullSafe(F.lit(key))
-        out = F.when(here, number(edges)).otherwise(out)
-    return out
+LEAST_RANGES = 32
+VALUES_PER_RANGE = 200_000
 
 
 def running_totals(
-    counted: DataFrame, value: str, totals: list[str], by: list[str] | None = None, ranges: int = RANGES
+    counted: DataFrame, value: str, totals: list[str], by: list[str] | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Add, per total, what lies strictly below the row's value and in all.
 
     ``counted`` has one row per (by, value) and is read several times, so it
-    should be checkpointed. ``by`` must have few distinct values (features,
-    sensitivity steps), as the bounds of each are fitted like those of a
-    quantile discretizer and sent with the plan.
+    should be checkpointed. The bounds of the ranges are a table with a row per
+    group of ``by``; without ``ranges`` there is one for every 200,000 values.
     """
     by = by or []
+    if ranges is None:
+        ranges = max(LEAST_RANGES, -(-counted.count() // VALUES_PER_RANGE))
     steps = [i / ranges for i in range(1, ranges)]
-    fitted = counted.groupBy(*by).agg(F.percentile_approx(value, steps, 1000).alias("_edges"))
-    bounds = {
-        tuple(r[c] for c in by): sorted({float(e) for e in r["_edges"] or []}) for r in fitted.collect()
-    }
-    placed = counted.withColumn("_range", _range_number(bounds, value, by))
+    keys = [F.col(c).alias(f"_k_{c}") for c in by]
+    fitted = counted.groupBy(*by).agg(F.percentile_approx(value, steps, max(1000, 10 * ranges)).alias("_edges"))
+    bounds = fitted.select(*keys, F.array_distinct("_edges").alias("_edges"))
+
+    def matched(left: DataFrame, right: DataFrame, same: Column) -> DataFrame:
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        return left.join(right, same)
+
+    # without groups one row of bounds
+    placed = matched(counted, bounds if by else F.broadcast(bounds), F.lit(True)).drop(*[f"_k_{c}" for c in by])
+    placed = placed.withColumn("_range", F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
 
     per_range = placed.groupBy(*by, "_range").agg(*[F.sum(t).alias(f"_sum_{t}") for t in totals])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     below = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
-        *[F.col(c).alias(f"_k_{c}") for c in by],
+        *keys,
         F.col("_range").alias("_k_range"),
         *[F.coalesce(F.sum(f"_sum_{t}").over(below), F.lit(0)).alias(f"_offset_{t}") for t in totals],
         *[F.sum(f"_sum_{t}").over(group).alias(f"all_{t}") for t in totals],
     )
-    same = F.col("_range") == F.col("_k_range")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    # at most `ranges` rows per group
-    joined = placed.join(F.broadcast(offsets), same)
+    joined = matched(placed, offsets, F.col("_range") == F.col("_k_range"))
     inner = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return joined.select(
         *counted.columns,

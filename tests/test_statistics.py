@@ -115,7 +115,10 @@ def test_no_drift_against_itself_and_empty_sides(scored_rows):
     same = drift.drift_report(scored_rows, scored_rows).collect()
     assert {(r.psi, r.status) for r in same} == {(0.0, "ok")} and len(same) == 5
     none = drift.drift_report(scored_rows.where("season = 'never'"), scored_rows).collect()
-    assert {(r.psi, r.status) for r in none} == {(0.0, "ok")} and len(none) == 5
+    # without recent numbers nothing is said of them; categories that vanished alert
+    assert {r.feature: r.status for r in none} == {
+        "loc_x": "ok", "loc_y": "ok", "shot_distance": "ok", "shot_zone_basic": "alert", "shot_type": "alert",
+    }
 
 
 def test_new_category_alerts(spark, scored_rows):

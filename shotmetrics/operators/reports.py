@@ -28,14 +28,20 @@ LEADERBOARD_HEADINGS = {
 }
 
 
-def join_predictions(shots: DataFrame, predictions: DataFrame) -> DataFrame:
+def join_predictions(shots: DataFrame, predictions: DataFrame, outcome: bool = False) -> DataFrame:
     """Shots that have a prediction, with it as ``p_make``.
 
+    ``outcome`` adds what was stored with the prediction as ``actual_make``, so
+    that a shot corrected later does not change past calibration.
+
     Both sides are unique on shot_id, so the join neither multiplies rows nor
-    skews; bucketed on shot_id it needs no shuffle.
+    skews. Both are stored by season and type, which are part of the key, so a
+    season's filter on the result prunes both scans.
     """
-    scores = predictions.select("shot_id", F.col("predicted_make_prob").alias("p_make"))
-    return shots.join(scores, "shot_id", "inner")
+    key = ["season", "season_type", "shot_id"]
+    added = ["p_make", *(["actual_make"] if outcome else [])]
+    scores = predictions.withColumnRenamed("predicted_make_prob", "p_make").select(*key, *added)
+    return shots.join(scores, key, "inner").select(*shots.columns, *added)
 
 
 def _made():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.players import players_with_games
 from ..schema import PARTITIONING, REGULAR_SEASON
 from ..sources.landing import load_player_dump, read_landed, standardize
-from ..sources.tables import ShotStore, missing_players
+from ..sources.tables import ShotStore, missing_players, storable
 
 logger = logging.getLogger(__name__)
 
@@ -44,11 +44,15 @@ def season_rows(
     spark: SparkSession, dump_path: str, season: str, season_type: str, fmt: str = "json"
 ) -> DataFrame:
     """A landed season dump, standardised, with rows of other seasons left out."""
-    raw = read_landed(spark, dump_path, fmt)
+    return standardize(_of_season(read_landed(spark, dump_path, fmt), season, season_type), season, season_type)
+
+
+def _of_season(raw: DataFrame, season: str, season_type: str) -> DataFrame:
+    """Raw rows of the season, and those that name none."""
     for column, value in (("SEASON", season), ("SEASON_TYPE", season_type)):
         if column in raw.columns:
             raw = raw.where(F.col(column).isNull() | (F.col(column) == value))
-    return standardize(raw, season, season_type)
+    return raw
 
 
 def first_players(
@@ -71,20 +75,22 @@ def ensure_season(
 ) -> DataFrame:
     """A stored season, filled from the dump for all players that lack it.
 
-    All players are loaded by one join instead of one request each. With
-    ``force_refresh`` the chosen players' stored rows are replaced.
+    All players with games in the season are loaded by one join instead of one
+    request each. With ``force_refresh`` the stored rows of the chosen players
+    are replaced; a player without storable new rows keeps the old ones.
     """
     store.initialize()
     if not force_refresh and store.season_count(season, season_type) > 0:
         return store.season_shots(season, season_type)
-    raw = read_landed(store.spark, dump_path, fmt)
+    raw = _of_season(read_landed(store.spark, dump_path, fmt), season, season_type)
     players = players_with_games(raw).withColumns({"season": F.lit(season), "season_type": F.lit(season_type)})
     if players.isEmpty():
         raise NoPlayers(f"no players for season={season}, season_type={season_type}")
-    rows = season_rows(store.spark, dump_path, season, season_type, fmt)
+    rows = standardize(raw, season, season_type)
     chosen = first_players(players, max_players)
     if force_refresh:
-        store.replace_players(_of_players(rows, chosen), chosen, season, season_type)
+        fresh = _of_players(rows, chosen)
+        store.replace_players(fresh, storable(fresh).select("player_id").distinct(), season, season_type)
     else:
         store.upsert(_of_players(rows, missing_players(chosen, store.shots())))
     return store.season_shots(season, season_type)

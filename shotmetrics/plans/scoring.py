@@ -95,14 +95,17 @@ def populate_predictions(store: ShotStore, models: ModelStore, cross_season: tup
     With ``cross_season`` that one model scores everything.
     """
     store.initialize()
-    todo = unscored(store.shots(), store.predictions())
     if cross_season is not None:
-        return store.add_predictions(score(models.model(*cross_season), todo))
+        todo = unscored(store.shots(), store.predictions())
+        return store.add_predictions(score(models.model(*cross_season), todo), all_new=True)
     added = 0
     # one entry per season and type
     for season, season_type in sorted(tuple(r) for r in store.shots().select("season", "season_type").distinct().collect()):
         if not models.exists(season, season_type):
             logger.info("no model for %s %s", season, season_type)
             continue
-        added += store.add_predictions(score(models.model(season, season_type), in_season(todo, season, season_type)))
+        mine = unscored(
+            in_season(store.shots(), season, season_type), in_season(store.predictions(), season, season_type)
+        )
+        added += store.add_predictions(score(models.model(season, season_type), mine), all_new=True)
     return added

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import checkpointed
@@ -28,6 +28,11 @@ from ..schema import (
 GAME_ORDER = ["game_date", "game_id", "game_event_id"]
 
 
+def storable(incoming: DataFrame) -> DataFrame:
+    """The rows in the shape of the shot table, without those that miss a required value."""
+    return conform(incoming).dropna(subset=REQUIRED_COLUMNS)
+
+
 def new_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """The incoming rows an insert-or-ignore would add to the stored ones.
 
@@ -36,7 +41,7 @@ def new_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     is never a duplicate; such rows bypass both steps, so they cannot pile up
     under one shuffle key.
     """
-    rows = conform(incoming).dropna(subset=REQUIRED_COLUMNS)
+    rows = storable(incoming)
     complete = F.lit(True)
     for c in OPTIONAL_KEY:
         complete = complete & F.col(c).isNotNull()
@@ -52,8 +57,8 @@ def new_rows(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def unscored(shots: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Shots without a stored prediction."""
-    return shots.join(predictions.select("shot_id"), "shot_id", "left_anti")
+    """Shots without a stored prediction; a season's filter on the result reaches both tables."""
+    return shots.join(predictions.select(*PARTITIONING, "shot_id"), [*PARTITIONING, "shot_id"], "left_anti")
 
 
 def as_predictions(scored: DataFrame) -> DataFrame:
@@ -88,6 +93,15 @@ def season_counts(shots: DataFrame) -> DataFrame:
     return shots.groupBy("season", "season_type").agg(F.count(F.lit(1)).alias("n_shots"))
 
 
+def of_partitions(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The stored rows of the seasons and types a batch names, so that other partitions are not read."""
+    named = storable(batch).select(*PARTITIONING).distinct().collect()  # seasons times types
+    wanted = F.lit(False)
+    for row in named:
+        wanted = wanted | ((F.col("season") == row["season"]) & (F.col("season_type") == row["season_type"]))
+    return stored.where(wanted)
+
+
 def _with_shots(shots: DataFrame) -> DataFrame:
     """Each stored player, season and type once, so that no player is a hot join key."""
     return shots.select("player_id", *PARTITIONING).distinct()
@@ -171,18 +185,16 @@ class ShotStore:
         in every partition; a season too large for one task is split. Ids are
         given in the writing task itself: unique across tasks, above all
         stored ones, and fixed once written, also when a task runs twice. The
-        batch is checkpointed because it is counted first.
+        rows are counted as they are written.
         """
-        batch = checkpointed(df)
-        added = batch.count()
-        if not added:
-            return 0
-        rows = batch.hint("rebalance", *PARTITIONING).sortWithinPartitions(*PARTITIONING, "player_id")
+        rows = df.hint("rebalance", *PARTITIONING).sortWithinPartitions(*PARTITIONING, "player_id")
         if first_id is not None:
             rows = rows.withColumn("shot_id", F.monotonically_increasing_id() + F.lit(first_id))
         rows = rows.withColumn("created_at", F.current_timestamp())
+        written = Observation()
+        rows = rows.observe(written, F.count(F.lit(1)).alias("n"))
         rows.write.mode("append").partitionBy(*PARTITIONING).parquet(path)
-        return added
+        return written.get["n"]
 
     def _next_id(self) -> int:
         top = self.shots().agg(F.max("shot_id")).first()[0]
@@ -191,7 +203,8 @@ class ShotStore:
     def upsert(self, frame: DataFrame) -> int:
         """Add the rows not stored yet; returns how many were added."""
         self.initialize()
-        return self._append(new_rows(frame, self.shots()), self.shots_path, self._next_id())
+        stored = of_partitions(self.shots(), frame)
+        return self._append(new_rows(frame, stored), self.shots_path, self._next_id())
 
     def _rewrite(self, season: str, season_type: str, rows: DataFrame) -> None:
         """Make these rows the whole partition of a season and type."""
@@ -238,7 +251,11 @@ class ShotStore:
     def season_count(self, season: str, season_type: str = REGULAR_SEASON) -> int:
         return in_season(self.shots(), season, season_type).count()
 
-    def add_predictions(self, scored: DataFrame) -> int:
-        """Store predictions of shots that have none yet; returns how many were added."""
+    def add_predictions(self, scored: DataFrame, all_new: bool = False) -> int:
+        """Store predictions of shots that have none yet; returns how many were added.
+
+        ``all_new`` says that the scored shots are known to have none.
+        """
         self.initialize()
-        return self._append(unscored(as_predictions(scored).dropDuplicates(["shot_id"]), self.predictions()), self.predictions_path)
+        rows = as_predictions(scored).dropDuplicates([*PARTITIONING, "shot_id"])
+        return self._append(rows if all_new else unscored(rows, self.predictions()), self.predictions_path)

@@ -10,7 +10,7 @@ from ..operators import calibration, drift
 from ..plans.monitoring import METRICS, baseline_record, monitoring_report
 from ..sources.artifacts import history_series, latest_report
 from ..sources.star_schema import predictions
-from .base import fixture_sql, joined, query, rounded_sql, stored_once, units_sql
+from .base import ORACLES, fixture_sql, joined, query, rounded_sql, stored_once, units_sql
 
 R6 = rounded_sql
 
@@ -130,8 +130,11 @@ def _numeric_psi_sql(feature: str) -> str:
 
 
 def _category_psi_sql(feature: str) -> str:
+    def share(side: str) -> str:
+        return f"greatest(coalesce(CAST({side} AS DOUBLE) / nullif(sum({side}) OVER (), 0), 0), 1e-6) AS {side}"
+
     return f"""SELECT '{feature}' AS feature, sum((a - e) * ln(a / e)) AS psi FROM (
-    SELECT greatest(CAST(e AS DOUBLE) / sum(e) OVER (), 1e-6) AS e, greatest(CAST(a AS DOUBLE) / sum(a) OVER (), 1e-6) AS a
+    SELECT {share('e')}, {share('a')}
     FROM (SELECT v, sum(CASE WHEN late THEN 0 ELSE 1 END) AS e, sum(CASE WHEN late THEN 1 ELSE 0 END) AS a
       FROM (SELECT {feature} AS v, true AS late FROM recent UNION ALL SELECT {feature}, false FROM scored)
       WHERE v IS NOT NULL GROUP BY 1))"""
@@ -229,6 +232,39 @@ def monitoring_report_(spark, sf_dir):
     return monitoring_report(_drift_rows(spark, sf_dir)[1], baseline_brier=0.2).drop("timestamp", "drift_report")
 
 
+@query("monitoring_drift", ORACLES["drift_rows"])
+def monitoring_drift(spark, sf_dir):
+    """The drift map of the whole report, as rows."""
+    return drift.drift_rows(monitoring_report(_drift_rows(spark, sf_dir)[1]).select("drift_report"))
+
+
+@query(
+    "baseline_shares",
+    f"{fixture_sql()}, {_BEST}"
+    + " UNION ALL ".join(
+        f"""
+SELECT '{f}' AS feature, {f} AS category,
+  {R6('(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER ())', 6)} AS share FROM season_rows WHERE {f} IS NOT NULL GROUP BY {f}"""
+        for f in drift.CATEGORY_DRIFT
+    ),
+)
+def baseline_shares(spark, sf_dir):
+    """The category distributions of the baseline record, as rows."""
+    rows = stored_once(joined(spark, sf_dir).select("season", "season_type", "p_make", "shot_made_flag", *_ALL))
+    season, season_type, _ = drift.largest_season(rows).first()
+    record = baseline_record(rows, season, season_type)
+    by_feature = record.select(F.explode("category_distributions").alias("feature", "shares"))
+    return by_feature.select("feature", F.explode("shares").alias("category", "share"))
+
+
+@query("psi_vanished", f"""{fixture_sql()}, {_WINDOW}, gone AS (SELECT * REPLACE (NULL AS shot_type) FROM recent),
+{_psi_sql(drift.CATEGORY_DRIFT).replace('FROM recent', 'FROM gone')} SELECT * FROM psi""")
+def psi_vanished(spark, sf_dir):
+    """Drift when a category has no recent value left."""
+    recent, rows = _drift_rows(spark, sf_dir)
+    return drift.psi_categorical(recent.withColumn("shot_type", F.lit(None).cast("string")), rows)
+
+
 def _history(spark, sf_dir):
     """One report per month of games, as if the job had run at each month's end."""
     rows = joined(spark, sf_dir).withColumn("month", month_key(F.col("game_date")))

@@ -13,8 +13,6 @@ from ..schema import ZONE_CATEGORIES
 
 NUMERIC_FEATURES = ["loc_x", "loc_y", "distance", "angle", "is_3"]
 UNKNOWN = "Unknown"
-# One-hot columns are for short vocabularies; more levels than this is a data fault.
-MAX_LEVELS = 1000
 
 
 def with_features(shots: DataFrame) -> DataFrame:
@@ -46,10 +44,8 @@ def one_hot_levels(shots: DataFrame) -> list[str]:
     feats = with_features(shots)
     pairs = feats.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in ZONE_CATEGORIES])).alias("p")
-    ).select("p.name", "p.level").distinct().limit(MAX_LEVELS + 1)
+    ).select("p.name", "p.level").distinct()
     found = [(r["name"], r["level"]) for r in pairs.collect()]
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} zone levels; check the zone columns")
     ordered = sorted(found, key=lambda p: (ZONE_CATEGORIES.index(p[0]), p[1]))
     return NUMERIC_FEATURES + [f"{name}_{level}" for name, level in ordered]
 

@@ -35,16 +35,17 @@ def resolve_names(queries: DataFrame, players: DataFrame, query: str = "query")
     """Resolve typed names to ids: exact, then ignoring case, then by unique substring.
 
     ``players`` has id and full_name. Result: query, status (exact, ci,
-    substring, ambiguous, not_found), player_id, candidates (the first five
-    matches by name, for an ambiguous one). Of several players with one name
-    the highest id is taken.
+    substring, ambiguous, not_found, empty), player_id, candidates (the first
+    five matches by name, for an ambiguous one). Of several players with one
+    name the highest id is taken. A null or empty query is answered "empty"; a
+    blank one occurs in every name.
 
     Substring search is an equi-join: a query can only occur in names that
     hold its rarest three-letter piece (or shorter, for short queries), so
     only those are compared, and per query at most five names survive each
     task.
     """
-    asked = queries.select(F.col(query).alias("query")).where(F.col("query").isNotNull() & (F.col("query") != "")).distinct()
+    asked = queries.select(F.col(query).alias("query")).distinct()
     asked = asked.withColumn("needle", F.trim(F.lower("query")))
     names = players.groupBy("full_name").agg(F.max("id").alias("id"))
     names = names.withColumn("lowered", F.lower("full_name"))
@@ -83,14 +84,27 @@ def resolve_names(queries: DataFrame, players: DataFrame, query: str = "query")
         F.array_sort(F.collect_list("full_name")).alias("names"),
     )
     full = tried.join(found, "needle", "left")
+    some = names.orderBy("full_name").limit(SUGGESTIONS).agg(
+        F.count(F.lit(1)).alias("some"), F.max("id").alias("some_id"), F.array_sort(F.collect_list("full_name")).alias("some_names")
+    )
+    # one row; asked only for blank queries
+    blank = F.col("needle") == ""
+    full = full.crossJoin(F.broadcast(some)).withColumns(
+        {
+            "matches": F.when(blank, F.col("some")).otherwise(F.col("matches")),
+            "sub_id": F.when(blank, F.col("some_id")).otherwise(F.col("sub_id")),
+            "names": F.when(blank, F.col("some_names")).otherwise(F.col("names")),
+        }
+    )
     status = (
-        F.when(F.col("exact_id").isNotNull(), "exact")
+        F.when(F.col("query").isNull() | (F.col("query") == ""), "empty")
+        .when(F.col("exact_id").isNotNull(), "exact")
         .when(F.col("ci_id").isNotNull(), "ci")
         .when(F.col("matches") == 1, "substring")
         .when(F.col("matches") > 1, "ambiguous")
         .otherwise("not_found")
     )
-    unique = F.when(F.col("matches") == 1, F.col("sub_id"))
+    unique = F.when((F.col("matches") == 1) & (status == "substring"), F.col("sub_id"))
     return full.select(
         "query",
         status.alias("status"),

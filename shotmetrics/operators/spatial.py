@@ -19,19 +19,17 @@ MAP_PRESETS = {
 
 
 def located(shots: DataFrame) -> DataFrame:
-    """Rows with usable coordinates, as plot_x and plot_y."""
-    return shots.withColumns(
-        {"plot_x": lenient_double(shots, "loc_x"), "plot_y": lenient_double(shots, "loc_y")}
-    ).dropna(subset=["plot_x", "plot_y"])
+    """The shots with plot_x and plot_y, null where a coordinate is no number."""
+    return shots.withColumns({"plot_x": lenient_double(shots, "loc_x"), "plot_y": lenient_double(shots, "loc_y")})
 
 
 def with_zone(shots: DataFrame) -> DataFrame:
     """Add the court zone: null outside the half court or without coordinates."""
-    placed = shots.withColumns({"_x": lenient_double(shots, "loc_x"), "_y": lenient_double(shots, "loc_y")})
-    x, y = F.col("_x"), F.col("_y")
+    placed = located(shots)
+    x, y = F.col("plot_x"), F.col("plot_y")
     measured = placed.withColumns({"_r": court.radius(x, y), "_theta": court.floor_angle(x, y)})
     zone = court.zone_id(x, y, F.col("_r"), F.col("_theta"))
-    return measured.withColumn("zone_id", zone).drop("_x", "_y", "_r", "_theta")
+    return measured.withColumn("zone_id", zone).drop("plot_x", "plot_y", "_r", "_theta")
 
 
 # Rows that fall in no cell are grouped under null and dropped by their count

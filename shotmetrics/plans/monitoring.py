@@ -15,20 +15,26 @@ from ..operators.drift import (
     drift_map,
     drift_report,
     feature_profile,
+    largest_season,
     recent_window,
 )
 from ..operators.lineage import checkpointed
 from ..schema import REGULAR_SEASON, REPORT_SCHEMA
-from ..sources.artifacts import append_report
+from ..sources.artifacts import append_report, load_baseline, save_baseline
 
 BRIER_FACTOR = 1.15
 METRICS = ["brier_score", "ece", "log_loss"]
 
 
+def _outcome(scored: DataFrame) -> str:
+    """The outcome stored with the prediction where the rows carry it."""
+    return "actual_make" if "actual_make" in scored.columns else "shot_made_flag"
+
+
 def baseline_record(scored: DataFrame, season: str, season_type: str = REGULAR_SEASON) -> DataFrame:
     """One row: size, metrics and feature distributions of a scored season."""
     rows = scored.where((F.col("season") == season) & (F.col("season_type") == season_type))
-    metrics = calibration_metrics(rows, "p_make", "shot_made_flag")
+    metrics = calibration_metrics(rows, "p_make", _outcome(rows))
     percents = ["p10", "p25", "p50", "p75", "p90"]
     # a handful of features and their categories
     numbers = feature_profile(rows).agg(
@@ -87,14 +93,14 @@ def monitoring_report(
     """
     recent = checkpointed(
         recent_window(scored, window_days, season, season_type, dates).select(
-            "p_make", "shot_made_flag", *NUMERIC_DRIFT, *CATEGORY_DRIFT
+            "p_make", _outcome(scored), *NUMERIC_DRIFT, *CATEGORY_DRIFT
         )
     )
     if baseline_shots is None:
         baseline_shots = scored
         if season is not None:
             baseline_shots = scored.where((F.col("season") == season) & (F.col("season_type") == season_type))
-    metrics = calibration_metrics(recent, "p_make", "shot_made_flag")
+    metrics = calibration_metrics(recent, "p_make", _outcome(scored))
     drift = drift_map(drift_report(recent, baseline_shots)).scalar()
     row = metrics.withColumns(
         {"drift_report": drift, "baseline_brier": F.lit(baseline_brier).cast("double")}
@@ -115,8 +121,37 @@ def monitoring_report(
     ).select(*REPORT_SCHEMA.names)
 
 
-def run_monitoring(scored: DataFrame, history_path: str, log_path: str, **options) -> DataFrame:
-    """Make a report, append it to history and log, and return it."""
+# The season that stands for an empty table.
+NO_SEASON = ("2023-24", REGULAR_SEASON)
+
+
+def establish_baseline(
+    scored: DataFrame, path: str, season: str | None = None, season_type: str = REGULAR_SEASON
+) -> DataFrame:
+    """Measure a season, by default the one with most shots, save it as the baseline and return it.
+
+    With no shots at all the record names a fixed season and counts none.
+    """
+    if season is None:
+        best = largest_season(scored).first()
+        season, season_type = (best["season"], best["season_type"]) if best else NO_SEASON
+    record = checkpointed(baseline_record(scored, season, season_type))
+    save_baseline(record, path)
+    return record
+
+
+def run_monitoring(
+    scored: DataFrame, history_path: str, log_path: str, baseline_path: str | None = None, **options
+) -> DataFrame:
+    """Make a report, append it to history and log, and return it.
+
+    The Brier score of the baseline stored at ``baseline_path`` is the one to
+    compare with unless ``baseline_brier`` gives another.
+    """
+    if baseline_path is not None and options.get("baseline_brier") is None:
+        stored = load_baseline(scored.sparkSession, baseline_path)
+        if "brier_score" in stored.columns:
+            options["baseline_brier"] = stored.first()["brier_score"]
     report = checkpointed(monitoring_report(scored, **options))
     append_report(report, history_path, log_path)
     return report

@@ -1,4 +1,4 @@
-"""Running a saved SQL text, and the four reports as such texts."""
+"""Running a saved SQL text with bound parameters."""
 
 from __future__ import annotations
 

@@ -202,21 +202,26 @@ NAMES = [(1, "Ann Lee"), (2, "ann lee"), (3, "Bob Stone"), (4, "Bob Stoner"), (5
         ("y", "substring", 5),
         ("sto", "ambiguous", None),
         ("zzz", "not_found", None),
+        ("", "empty", None),
+        (None, "empty", None),
+        ("  ", "ambiguous", None),
     ],
 )
 def test_resolve_names(spark, query, status, player):
     dim = spark.createDataFrame(NAMES, "id long, full_name string")
     row = players.resolve_names(spark.createDataFrame([(query,)], "query string"), dim).first()
     assert (row.status, row.player_id) == (status, player)
-    if status == "ambiguous":
+    if query == "sto":
         assert row.candidates == "Bob Stone, Bob Stoner"
+    if query == "  ":
+        assert row.candidates == ", ".join(sorted({name for _, name in NAMES})[:5])
 
 
 def test_resolve_names_lists_five_of_many(spark):
     dim = spark.range(400).selectExpr("id", "concat('Player ', lpad(id, 4, '0')) as full_name")
     row = players.resolve_names(spark.createDataFrame([("LAYER 00",), ("",)], "query string"), dim).collect()
-    assert len(row) == 1
-    assert row[0].candidates == ", ".join(f"Player {i:04d}" for i in range(5))
+    assert {r.query: r.status for r in row} == {"LAYER 00": "ambiguous", "": "empty"}
+    assert next(r for r in row if r.query).candidates == ", ".join(f"Player {i:04d}" for i in range(5))
 
 
 def test_players_with_games(spark):

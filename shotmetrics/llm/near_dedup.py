@@ -9,9 +9,10 @@ independent draws. Bands of bins name buckets; documents that share a bucket are
 candidates, which are confirmed on their full sets.
 
 Equal sets are one class from the start. Inside a bucket members are first
-compared with one leader each; only classes still in different components are
-compared further, so a bucket of many copies never meets all its pairs, and at
-the end no unconfirmed pair of a bucket has been left between two components.
+compared with one leader each, so a bucket of many copies never meets all its
+pairs. Groups that still hold several components are compared whole, in bounded
+chunks and by matrix products, and give only the links that join components; so
+no pair of a bucket is left uncompared between two components.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from .shared import whole_text
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 PERCENT = 80
-LEADER_ROUNDS = 6
-_CACHED_WORDS = 1_000_000
+# Documents of a chunk in the last comparison, and columns of its matrices.
+CHUNK = 256
+_COLUMNS = 2048
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
@@ -53,19 +55,12 @@ class Shingler:
 
     def __init__(self, width: int) -> None:
         self.width = width
-        self.known: dict[bytes, int] = {}
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        new = set(words).difference(known)
-        if len(known) + len(new) > _CACHED_WORDS:
-            known.clear()
-            new = set(words)
-        known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-        codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        codes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         span = min(self.width, len(words))
         total = np.zeros(len(words) - span + 1, np.uint64)
         for i in range(span):
@@ -146,6 +141,70 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
 
+def _linking(sets: list[np.ndarray], parts: np.ndarray, first: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of places whose sets link two parts: enough of them to join what can be joined.
+
+    Shared shingles are counted for all pairs at once, as a product of 0-1
+    matrices. Where `first` tells two sides apart only pairs across are asked.
+    """
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    values, codes, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen[codes] > 1
+    column = np.cumsum(seen > 1)[codes[shared]] - 1
+    owner = owner[shared]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(column, [begin, begin + _COLUMNS])
+        block = np.zeros((len(sets), _COLUMNS), np.float32)
+        block[owner[lo:hi], column[lo:hi] - begin] = 1
+        common += block @ block.T
+    either = size[:, None] + size[None, :] - common
+    linked = (100 * common.astype(np.int64) >= percent * either.astype(np.int64)) & (parts[:, None] != parts[None, :])
+    if first.any() and not first.all():
+        linked &= first[:, None] != first[None, :]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        x, y = find(int(parts[i])), find(int(parts[j]))
+        if x != y:
+            root[x] = y
+            out.append((int(i), int(j)))
+    return out
+
+
+def _compared(groups: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each group (leader, id, component, n).
+
+    A group is cut into chunks of about CHUNK documents by a hash, and each pair
+    of chunks is one bounded group of its own, which compares all its documents.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        shingles = Shingler(width)
+        frame = frame.drop_duplicates(["id", "text"])
+        sets = [shingles(t) for t in frame["text"]]
+        first = (frame["chunk"] == frame["low"]).to_numpy()
+        ids = frame["id"].to_numpy()
+        pairs = _linking(sets, frame["component"].to_numpy(), first, percent)
+        return pd.DataFrame([(ids[i], ids[j]) for i, j in pairs], columns=["a", "b"])
+
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    cut = groups.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    cut = cut.select("leader", "id", "component", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    return cut.join(texts, "id").groupBy("leader", "low", "high").applyInPandas(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable over links) and kept.
 
@@ -164,48 +223,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     owners = sets.join(classes, "set_key").filter("doc_id = id").dropDuplicates(["set_key"])
     buckets = owners.select("id", F.explode("keys").alias("key"))
     leaders = buckets.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last")
-    members = checkpointed(buckets.join(leaders.select("key", "leader"), "key").distinct())
+    # Documents of one bucket have one leader, so groups by leader hold every candidate pair.
+    members = checkpointed(buckets.join(leaders, "key").select("leader", "id").distinct())
 
     wanted = members.select("id").distinct()
     texts = docs.select(F.col("doc_id").alias("id"), whole_text().alias("text")).join(wanted, "id", "left_semi")
     texts = checkpointed(texts)
-    # Documents of one set but several ids are joined through their class, rows of one id through the id.
-    tried = checkpointed(_ordered(members.select(F.col("leader").alias("a"), F.col("id").alias("b"))))
-    links = checkpointed(confirmed(tried, texts, width, percent).distinct())
-    linked = checkpointed(components(links))
-
-    busy = members.select("key", "id")
-    crowded = busy.groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").select("key")
-    busy = checkpointed(busy.join(crowded, "key", "left_semi"))
-    n_classes = classes.count()
-    for turn in range(LEADER_ROUNDS + 1):
+    asked = _ordered(members.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+    linked = checkpointed(components(checkpointed(confirmed(asked, texts, width, percent))))
+
+    busy = members
+    before = members.groupBy("leader").count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) / 2")), F.lit(0.0))).first()[0]
+    while True:
         placed = busy.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = placed.groupBy("key").agg(
+        split = placed.groupBy("leader").agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
             F.count("*").alias("n"),
-            F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(turn), "key", "id")).alias("head"),
+            F.min_by(F.struct("id", "component"), F.xxhash64("leader", "id")).alias("head"),
         )
-        split = split.filter("low < high")
-        placed = checkpointed(placed.join(split, "key"))
-        by_part = placed.groupBy("key", "component").agg(F.count("*").alias("part"), F.first("n").alias("n"))
-        left = by_part.agg(F.coalesce(F.sum(F.expr("part * (n - part)")), F.lit(0)).alias("n")).first()["n"] // 2
+        placed = checkpointed(placed.join(split.filter("low < high and n > 2"), "leader"))
+        parts = placed.groupBy("leader", "component").agg(F.count("*").alias("part"), F.first("n").alias("n"))
+        left = parts.agg(F.coalesce(F.sum(F.expr("part * (n - part)")), F.lit(0)).alias("n")).first()["n"] / 2
         if not left:
             break
-        last = turn == LEADER_ROUNDS or left <= 4 * n_classes
+        # Another leader as long as that joins most; then all that are still apart.
+        last = left > before / 2
         if last:
-            other = placed.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-            pairs = placed.select("key", F.col("id").alias("a"), "component").join(other, "key").filter("a < b and component <> other")
+            found = _compared(placed.select("leader", "id", "component", "n"), texts, width, percent)
         else:
-            pairs = placed.filter("component <> head.component").select(F.col("head.id").alias("a"), F.col("id").alias("b"))
-        fresh = checkpointed(_ordered(pairs).join(tried, ["a", "b"], "left_anti"))
-        found = checkpointed(confirmed(fresh, texts, width, percent).distinct())
-        tried = tried.union(fresh)
-        links = links.union(found)
-        linked = checkpointed(components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)))
+            other = placed.filter("component <> head.component").select(F.col("head.id").alias("a"), F.col("id").alias("b"))
+            found = confirmed(_ordered(other), texts, width, percent)
+        joined = linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
+        linked = checkpointed(components(joined))
         if last:
             break
-        busy = placed.select("key", "id")
+        before, busy = left, placed.select("leader", "id")
 
     in_class = classes.join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("class_component"))
     if rows.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():

@@ -29,8 +29,8 @@ END_ID = 2
 SEGMENT_IDS = 1 << 18
 SAMPLE = 64
 # New words are no longer kept beyond this many; they are then asked each time.
-CACHED_WORDS = 1_500_000
-ENCODED_TOGETHER = 1_500
+CACHED_WORDS = 800_000
+ENCODED_TOGETHER = 3_000
 # Fixed value: how the byte-level vocabulary writes a space.
 _SPACE = "\u0120"
 SEGMENT_SCHEMA = (
@@ -116,7 +116,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         parts = pc.split_pattern(texts, " ")
-        ends = parts.offsets.to_pylist()
+        ends = parts.offsets.to_numpy().tolist()
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         table = list(map(self.known.get, words))
@@ -126,7 +126,7 @@ class WordEncoder:
             self.known.update(fresh)
         # What is left None is empty or begins with white space: such texts are encoded whole.
         table = [fresh.get(w) if ids is None else ids for w, ids in zip(words, table, strict=True)]
-        pieces = list(map(table.__getitem__, coded.indices.to_pylist()))
+        pieces = list(map(table.__getitem__, coded.indices.to_numpy().tolist()))
         heads = self.whole([words[i] for i in coded.indices.take(parts.offsets[:-1]).to_pylist()])
         out: list[bytes | None] = []
         for head, x, y in zip(heads, ends, ends[1:], strict=False):

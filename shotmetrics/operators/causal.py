@@ -20,6 +20,7 @@ from .ranking import exact_quantiles, running_totals
 logger = logging.getLogger(__name__)
 
 PANEL_KEY = ["player_id", "player_name", "season", "season_type"]
+# Confounders of the propensity model.
 CONFOUNDERS = [
     "prior_actual_fg_pct",
     "prior_avg_xfg",

@@ -11,6 +11,7 @@ from ..functions.court import inferred_three, radius
 from ..functions.numeric import lenient_double, text_or
 from ..schema import ZONE_CATEGORIES
 
+# The model's numeric features.
 NUMERIC_FEATURES = ["loc_x", "loc_y", "distance", "angle", "is_3"]
 UNKNOWN = "Unknown"
 

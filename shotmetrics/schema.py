@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 # The conformed shot table, in column order. The third item says whether a row
 # without the value is acceptable.
+# Columns of the shot table.
 _SHOT_FIELDS = [
     ("season", T.StringType(), False),
     ("season_type", T.StringType(), False),
@@ -33,6 +34,7 @@ SHOT_COLUMNS = [name for name, _, _ in _SHOT_FIELDS]
 REQUIRED_COLUMNS = [name for name, _, optional in _SHOT_FIELDS if not optional]
 
 # Two rows agreeing on all of these are the same shot.
+# The key of a shot.
 SHOT_KEY = [
     "season",
     "season_type",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..schema import REGULAR_SEASON, REPORT_SCHEMA
 
+_VERSION_SCHEMA = "version string, metadata string"
+
 
 def type_slug(season_type: str) -> str:
     """'Regular Season' -> 'regular_season'."""
@@ -33,25 +36,32 @@ class ModelStore:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def exists(self, season: str, season_type: str = REGULAR_SEASON) -> bool:
-        p = self.paths(season, season_type)
-        return self._present(p["model"]) and self._present(p["metadata"])
+        return self._present(self.paths(season, season_type)["metadata"])
 
     def save(self, model: PipelineModel, metadata: dict, curve: DataFrame | None = None) -> None:
+        """Add a version; readers see it, whole, once its line of metadata is there."""
         p = self.paths(metadata["season"], metadata["season_type"])
-        model.write().overwrite().save(p["model"])
+        version = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
+        model.write().save(f"{p['model']}/{version}")
         if curve is not None:
-            curve.write.mode("overwrite").json(p["calibration"])
-        # metadata last: a model counts as present only with it
-        self.spark.createDataFrame([(json.dumps(metadata),)], "value string").write.mode("overwrite").text(p["metadata"])
+            curve.write.json(f"{p['calibration']}/{version}")
+        line = self.spark.createDataFrame([(version, json.dumps(metadata))], _VERSION_SCHEMA)
+        line.coalesce(1).write.mode("append").json(p["metadata"])
+
+    def _newest(self, season: str, season_type: str):
+        lines = self.spark.read.schema(_VERSION_SCHEMA).json(self.paths(season, season_type)["metadata"])
+        return lines.orderBy(F.desc("version")).first()
 
     def metadata(self, season: str, season_type: str = REGULAR_SEASON) -> dict:
-        return json.loads(self.spark.read.text(self.paths(season, season_type)["metadata"]).first()[0])
+        return json.loads(self._newest(season, season_type)["metadata"])
 
     def model(self, season: str, season_type: str = REGULAR_SEASON) -> PipelineModel:
-        return PipelineModel.load(self.paths(season, season_type)["model"])
+        version = self._newest(season, season_type)["version"]
+        return PipelineModel.load(f"{self.paths(season, season_type)['model']}/{version}")
 
     def calibration(self, season: str, season_type: str = REGULAR_SEASON) -> DataFrame:
-        return self.spark.read.json(self.paths(season, season_type)["calibration"])
+        version = self._newest(season, season_type)["version"]
+        return self.spark.read.json(f"{self.paths(season, season_type)['calibration']}/{version}")
 
 
 def save_baseline(record: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.numeric import rounded
 from ..operators import reports
 from ..plans.sql_reports import register_views, run_sql
 from ..sources.star_schema import predictions, shots
@@ -41,6 +42,21 @@ def monthly_trends(spark, sf_dir):
     return reports.in_report_order(reports.monthly_trends(joined(spark, sf_dir)), "monthly_trends")
 
 
+@query(
+    "monthly_fg_changes",
+    f"""{_MONTHS}, trends AS (
+  SELECT *, lag(actual_fg, 1) OVER w AS q1 FROM months
+  WINDOW w AS (PARTITION BY player_id, season, season_type ORDER BY month))
+SELECT player_id, season, season_type, month, {R4('q1', 4)} AS prev_month_fg_pct,
+  {R4('(actual_fg - q1)', 4)} AS fg_delta FROM trends WHERE shots_attempted >= 20""",
+)
+def monthly_fg_changes(spark, sf_dir):
+    """The field-goal half of the trends, which the displayed report leaves out."""
+    trends = reports.monthly_trends(joined(spark, sf_dir), round_output=False)
+    found = trends.select("player_id", "season", "season_type", "month", "prev_month_fg_pct", "fg_delta")
+    return rounded(found, {"prev_month_fg_pct": 4, "fg_delta": 4})
+
+
 @query(
     "context_cohorts",
     f"""{fixture_sql()}, cohorts AS (

@@ -34,6 +34,25 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+_WORDS_SQL = "[^\\x20\\x09-\\x0D]+"
+
+ORACLES["op2_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS_SQL}') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+s AS (SELECT DISTINCT doc_id, CASE WHEN n = 1 THEN word ELSE word || ' ' || after END AS shingle FROM (
+    SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM t) WHERE n = 1 OR i < n),
+z AS (SELECT doc_id, count(*) AS size FROM s GROUP BY 1),
+sz AS (SELECT doc_id, shingle, size FROM s JOIN z USING (doc_id)),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, x.size + y.size AS sizes, count(*) AS common FROM sz x JOIN sz y
+    ON x.shingle = y.shingle AND x.doc_id < y.doc_id AND 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size) GROUP BY ALL),
+l AS (SELECT a, b FROM c WHERE 100 * common >= 80 * (sizes - common)),
+links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, k.b FROM reach r JOIN links k ON r.b = k.a)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+FROM reach JOIN documents ON a = doc_id LEFT JOIN z USING (doc_id) GROUP BY doc_id, size"""
+
+
 # The tree of the mixed corpus: families of sources, languages, sources. Weights are parts within a parent.
 _FAMILY = "CASE WHEN substr(md5(source), 1, 1) < '8' THEN 'forum' ELSE 'press' END"
 LEVELS = {"family": _FAMILY, "language": "lang", "origin": "source"}
@@ -134,6 +153,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+ORACLES["op10_repeats"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS_SQL}') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+s AS (SELECT *, CASE WHEN i + 12 <= n THEN string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) END AS stretch FROM t),
+f AS (SELECT *, CASE WHEN stretch IS NOT NULL AND min(doc_id) OVER (PARTITION BY stretch) < doc_id THEN 1 ELSE 0 END AS again FROM s),
+c AS (SELECT *, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+
 @query
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,6 @@ ASKED_PER_COPY = 20_000
 ASKED_PER_SHARD = 40_000
 # Words of a broadcast automaton.
 REFERENCE_WORDS = 500_000
-_CACHED_WORDS = 300_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,18 +45,11 @@ class Representatives:
 
     def __init__(self, width: int) -> None:
         self.width, self.piece = width, min(PIECE_WORDS, width)
-        self.known: dict[bytes, int] = {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(words) < self.width:
             return np.empty(0, np.int64)
-        known = self.known
-        new = set(words).difference(known)
-        if len(known) + len(new) > _CACHED_WORDS:
-            known.clear()
-            new = set(words)
-        known.update((w, xxhash.xxh64_intdigest(w)) for w in new)
-        codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        codes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         pieces = np.zeros(len(words) - self.piece + 1, np.uint64)
         for i in range(self.piece):
             pieces = mixed(pieces * _STEP + codes[i : i + len(pieces)])
@@ -150,8 +143,22 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, breaks + 1]].tolist(), starts[np.r_[breaks, len(starts) - 1]].tolist(), strict=True))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", whole_text().alias("text")).withColumn("text_key", F.xxhash64("text"))
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text that tells rows sharing an id apart, and the text compressed for the shuffle."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for frame in frames:
+            packed = [packer.compress(t.encode()) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text_key": frame["text_key"], "packed": packed})
+
+    rows = docs.select("doc_id", whole_text().alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInPandas(pack, "doc_id bigint, text_key bigint, packed binary")
+
+
+def _unpacked(packed: bytes) -> list[bytes]:
+    """The words of a compressed text."""
+    return zstandard.ZstdDecompressor().decompress(packed).split()
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -163,7 +170,6 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     gives an empty result, and other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = _keyed(docs)
 
     def represent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = Representatives(width)
@@ -171,8 +177,11 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             marks = [np.unique(find(t.encode().split())) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "marks": marks})
 
-    known = rows.filter("doc_id is not null").select("doc_id", "text")
+    known = docs.filter("doc_id is not null").select("doc_id", whole_text().alias("text"))
     marks = known.mapInPandas(represent, "doc_id bigint, marks array<bigint>").select("doc_id", F.explode("marks").alias("mark"))
+    # Dealt out once for both the least document and the join with it; the rows are two numbers.
+    # The filter is what the join would infer, and makes both plans the same.
+    marks = marks.filter("mark is not null and doc_id is not null").repartition(parallel_parts(spark), "mark")
     firsts = marks.groupBy("mark").agg(F.min("doc_id").alias("first"))
     asked = checkpointed(marks.join(firsts, "mark").filter("doc_id > first").select("doc_id", "first", "mark"))
 
@@ -186,21 +195,22 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     held = asked.select(F.col("first").alias("doc_id"), "mark").distinct().join(load, F.col("doc_id") == F.col("first"))
     held = held.select("doc_id", F.struct("mark", "first", "copies").alias("ask"))
     asks = wanted.union(held).groupBy("doc_id").agg(F.collect_list("ask").alias("asks"))
+    asks = asks.select("doc_id", F.col("asks.mark").alias("marks"), F.col("asks.first").alias("firsts"), F.col("asks.copies").alias("copies"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = Representatives(width)
         for frame in frames:
             out = []
-            for doc, text_key, text, asks in zip(frame["doc_id"], frame["text_key"], frame["text"], frame["asks"], strict=True):
-                words = text.encode().split()
+            for doc, text_key, packed, asked_marks, firsts, copy_counts in frame.itertuples(index=False):
+                words = _unpacked(packed)
                 marks = find(words)
-                table = np.array([(a["mark"], a["first"], a["copies"]) for a in asks], np.int64)
-                table = table[np.argsort(table[:, 0], kind="stable")]
-                place = np.minimum(np.searchsorted(table[:, 0], marks), len(table) - 1)
-                hit = np.flatnonzero(table[place, 0] == marks)
-                first = table[place[hit], 1]
+                order = np.argsort(asked_marks, kind="stable")
+                asked_marks, firsts, copy_counts = asked_marks[order], firsts[order], copy_counts[order]
+                place = np.minimum(np.searchsorted(asked_marks, marks), len(order) - 1)
+                hit = np.flatnonzero(asked_marks[place] == marks)
+                first = firsts[place[hit]]
                 for f in np.unique(first).tolist():
-                    copies = int(table[table[:, 1] == f][0, 2])
+                    copies = int(copy_counts[firsts == f][0])
                     for a, b in _runs(hit[first == f]):
                         stretch = b" ".join(words[a : b + width])
                         where = range(copies) if f == doc else [(doc + a) % copies]
@@ -208,7 +218,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pd.DataFrame(out, columns=["shard", "first", "doc_id", "text_key", "at", "words"])
 
     schema = "shard bigint, first bigint, doc_id bigint, text_key bigint, at int, words binary"
-    stretches = rows.join(asks, "doc_id").mapInPandas(cut, schema)
+    held_texts = _packed(docs).join(asks, "doc_id").select("doc_id", "text_key", "packed", "marks", "firsts", "copies")
+    stretches = held_texts.mapInPandas(cut, schema)
 
     def stream(frame: pd.DataFrame) -> pd.DataFrame:
         automaton = SuffixAutomaton()
@@ -236,32 +247,34 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return spans.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
 
 
-def _covered(n: int, spans, width: int) -> np.ndarray:
+def _covered(n: int, firsts: np.ndarray, lasts: np.ndarray, width: int) -> np.ndarray:
     edges = np.zeros(n + 1, np.int64)
-    for span in spans:
-        edges[span["first"]] += 1
-        edges[min(n, span["last"] + width)] -= 1
+    np.add.at(edges, firsts, 1)
+    np.add.at(edges, np.minimum(n, lasts + width), -1)
     return np.cumsum(edges[:-1]) > 0
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row: doc_id, n_words, n_removed and kept, the words outside repeated windows joined by one space."""
     found = repeated_windows(docs, width).withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"})
-    rows = _keyed(docs)
+    rows = _packed(docs)
     both = rows.join(found, (rows["doc_id"] == found["hit_id"]) & (rows["text_key"] == found["hit_key"]), "left")
 
     def drop(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             totals, removed, kept = [], [], []
-            for text, spans in zip(frame["text"], frame["spans"], strict=True):
-                words = text.encode().split()
-                gone = _covered(len(words), [] if spans is None else spans, width)
+            for packed, firsts, lasts in frame[["packed", "firsts", "lasts"]].itertuples(index=False):
+                words = _unpacked(packed)
                 totals.append(len(words))
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
+                if firsts is not None:
+                    gone = _covered(len(words), firsts, lasts, width)
+                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                removed.append(totals[-1] - len(words))
+                kept.append(b" ".join(words).decode())
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_words": totals, "n_removed": removed, "kept": kept})
 
-    return both.select("doc_id", "text", "spans").mapInPandas(drop, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    # The row's id is only handed through, so it may be null.
+    return both.select("packed", F.col("spans.first").alias("firsts"), F.col("spans.last").alias("lasts"), "doc_id").mapInPandas(drop, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def matches_of_reference(spark: SparkSession, docs: DataFrame, reference: DataFrame, width: int = WIDTH) -> DataFrame:

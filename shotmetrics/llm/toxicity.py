@@ -43,7 +43,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 # Inflected words share a stem: besides itself a word stands for its first letters, written with a dash.
 STEMS = (4, 5, 6)
-_REMEMBERED = 500_000
+_REMEMBERED = 100_000
 
 
 def text_words(text: str) -> Counter:
@@ -92,6 +92,8 @@ def choose_terms(examples: DataFrame, bound: int = TERMS) -> list[tuple[str, flo
             for text, label in zip(frame["text"], frame["label"], strict=True):
                 seen[int(label > 0)].update({t for word in text_words(text) for t in word_terms(word)})
             for label, terms in enumerate(seen):
+                if not terms:
+                    continue
                 yield pd.DataFrame({"term": list(terms), "label": label, "n": list(terms.values())})
 
     sizes = {r["label"]: r["n"] for r in examples.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
@@ -220,7 +222,7 @@ class Index:
         if key not in self.memo:
             near = self.nearest(self.vector(counts, self.idf))
             value = 0.0 if not self.blocks else 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.odds(near) + self.shift))))
-            if len(self.memo) > 50_000:
+            if len(self.memo) > 10_000:
                 self.memo.clear()
             self.memo[key] = (value, [int(self.ids[at]) for _, at in near], [s for s, _ in near])
         return self.memo[key]

@@ -356,7 +356,10 @@ def labelled_nodes(page: Page) -> tuple[np.ndarray, np.ndarray]:
 def fit(pages: DataFrame, seed: int = 5, sample: int = SAMPLE_PAGES, layouts: int = LAYOUTS) -> BoostedTrees | None:
     """Trees from a bounded sample of pages, by a hash of their text; None if no page marks its article."""
     marked = pages.filter((F.length("html") <= SAMPLE_CHARS) & F.lower("html").rlike("<(article|main)[\\s>]"))
-    chosen = marked.select("html").orderBy(F.xxhash64("html"), "html").limit(sample).collect()
+    hashed = marked.select("html", F.xxhash64("html").alias("hash"))
+    # Numbers are ranked, so that only the pages of the sample come to the driver; copies count once.
+    least = [r["hash"] for r in hashed.select("hash").distinct().orderBy("hash").limit(sample).collect()]
+    chosen = hashed.filter(F.col("hash").isin(least)).groupBy("hash").agg(F.min("html").alias("html")).orderBy("hash").collect()
     split = [sample_blocks(r["html"]) for r in chosen]
     split = [s for s in split if s[0]]
     if not split:

@@ -33,8 +33,8 @@ from .shared import parallel_parts, whole_text
 WIDTH = 13
 PIECE_WORDS = 5
 # Representatives that one copy of a reference serves, and that one shard holds on average.
-ASKED_PER_COPY = 20_000
-ASKED_PER_SHARD = 40_000
+ASKED_PER_COPY = 4_000
+ASKED_PER_SHARD = 20_000
 # Words of a broadcast automaton.
 REFERENCE_WORDS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -7,8 +7,9 @@ protocol, so a job that dies leaves the table as it was.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lineage import checkpointed
@@ -185,16 +186,17 @@ class ShotStore:
         in every partition; a season too large for one task is split. Ids are
         given in the writing task itself: unique across tasks, above all
         stored ones, and fixed once written, also when a task runs twice. The
-        rows are counted as they are written.
+        batch is written once and then counted by its time stamp, which reads
+        one column.
         """
         rows = df.hint("rebalance", *PARTITIONING).sortWithinPartitions(*PARTITIONING, "player_id")
         if first_id is not None:
             rows = rows.withColumn("shot_id", F.monotonically_increasing_id() + F.lit(first_id))
-        rows = rows.withColumn("created_at", F.current_timestamp())
-        written = Observation()
-        rows = rows.observe(written, F.count(F.lit(1)).alias("n"))
+        stamp = F.lit(datetime.now(UTC))
+        rows = rows.withColumn("created_at", stamp)
         rows.write.mode("append").partitionBy(*PARTITIONING).parquet(path)
-        return written.get["n"]
+        stored = self.shots() if path == self.shots_path else self.predictions()
+        return stored.where(F.col("created_at") == stamp).count()
 
     def _next_id(self) -> int:
         top = self.shots().agg(F.max("shot_id")).first()[0]

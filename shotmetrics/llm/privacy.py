@@ -1,10 +1,11 @@
 """Personal data: base patterns, and terms whose co-occurrence discloses an entity.
 
-Base spans are emails, addresses, card and phone numbers. For the words that
-stand near them the whole corpus is asked how strongly they reveal the entity:
-pointwise mutual information of word and entity over documents, as a share of
-the entity's own information content. A word at or above the generalising
-threshold is replaced by its kind, at or above the removing threshold it goes.
+Base spans are emails, addresses, card and phone numbers. For the other words of
+their documents the whole corpus is asked how strongly they reveal the entity:
+pointwise mutual information of word and entity over distinct texts, as a share
+of the entity's own information content. A word at or above the generalising
+threshold is replaced by its kind, at or above the removing threshold it goes,
+unless so many common texts may well be chance in a corpus of this size.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ PATTERNS = {
 NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TERM = r"[\p{L}\p{N}]{3,}+"
 
-CONTEXT_CHARS = 48
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
-LEAST_TEXTS = 2
+# A term discloses only if its texts in common with the entity are at most this likely by chance.
+CHANCE = 0.05
+# How many common texts the bound of that chance multiplies, and which terms count as
+# very common, one text in so many.
+CHANCE_TEXTS = 8
+COMMON = 100
 
 
 def _digits(value: Column) -> Column:
@@ -82,33 +87,42 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(k) for k in KINDS])
 
 
-def _near_terms(text: Column, spans: Column) -> Column:
-    """Terms near each span: array<struct<entity, term, start, end>>; none overlaps a span."""
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with its spans as spaces; offsets stay."""
 
-    def side(span: Column, first: Column, last: Column) -> Column:
-        chunk = F.substr(text, first + 1, last - first)
-        whole = F.filter(
-            located(chunk, TERM),
-            lambda m: ((m["start"] > 0) | (first == 0) | (first == span["end"]))
-            & ((first + m["end"] < last) | (last == F.length(text)) | (last == span["start"])),
-        )
-        return F.transform(
-            whole,
-            lambda m: F.struct(
-                span["entity"].alias("entity"),
-                F.lower(m["value"]).alias("term"),
-                (first + m["start"]).alias("start"),
-                (first + m["end"]).alias("end"),
-            ),
-        )
+    def step(done: Column, span: Column) -> Column:
+        at = F.greatest(done["at"], span["start"])
+        end = F.greatest(done["at"], span["end"])
+        upto = F.substr(text, done["at"] + 1, at - done["at"])
+        return F.struct(end.alias("at"), F.concat(done["out"], upto, F.repeat(F.lit(" "), end - at)).alias("out"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(ordered, start, step, lambda done: F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+
+
+def _placed(masked: Column, actions: Column) -> Column:
+    """Where the terms of a map from term to action stand: array<struct<start, end, action>>."""
+    steps = F.zip_with(
+        F.split(masked, TERM, -1),
+        F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)),
+        lambda gap, value: F.struct(F.length(gap).alias("gap"), F.length(value).alias("size"), F.try_element_at(actions, F.lower(value)).alias("action")),
+    )
+    nothing = F.array().cast("array<struct<start:int,end:int,action:string>>")
 
-    def around(span: Column) -> Column:
-        left = side(span, F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0)), span["start"])
-        right = side(span, span["end"], F.least(span["end"] + CONTEXT_CHARS, F.length(text)))
-        return F.concat(left, right)
+    def place(done: Column, step: Column) -> Column:
+        start = done["at"] + step["gap"]
+        end = start + step["size"]
+        hit = F.array(F.struct(start.alias("start"), end.alias("end"), step["action"].alias("action")))
+        out = F.when(step["action"].isNotNull(), F.concat(done["out"], hit)).otherwise(done["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
 
-    terms = F.flatten(F.transform(spans, around))
-    return F.filter(terms, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
+    return F.aggregate(F.filter(steps, lambda s: s["size"].isNotNull()), start, place, lambda done: done["out"])
 
 
 def _share(joint: Column, term: Column, entity: Column, total: Column) -> Column:
@@ -117,38 +131,70 @@ def _share(joint: Column, term: Column, entity: Column, total: Column) -> Column
     return F.when(content > 0, F.log(joint * total / (term * entity)) / content).otherwise(F.lit(0.0))
 
 
+def _chance(joint: Column, term: Column, entity: Column, total: Column) -> Column:
+    """At most how likely that many common texts are if the term's texts are dealt at random.
+
+    The expected number of sets of m texts in common over those of joint texts;
+    exact where all texts of the term or of the entity are common and few.
+    """
+
+    def factor(done: Column, i: Column) -> Column:
+        return done * (entity - i) * (term - i) / ((joint - i) * (total - i))
+
+    return F.aggregate(F.sequence(F.lit(0), F.least(joint, F.lit(CHANCE_TEXTS)).cast("int") - 1), F.lit(1.0), factor)
+
+
 def disclosing_terms(
-    docs: DataFrame, found: DataFrame, generalise_at: float = GENERALISE_AT, least_texts: int = LEAST_TEXTS
+    docs: DataFrame, found: DataFrame, generalise_at: float = GENERALISE_AT, chance: float = CHANCE
 ) -> DataFrame:
-    """(entity, term, share) for the terms that disclose an entity; counts are over all documents.
+    """(text_key, term, share) for the terms that disclose an entity of the text, with the greatest share.
 
-    A term counts when it stands near the entity in least_texts different texts,
-    so copies of one text prove nothing.
+    Term and entity may stand anywhere in a text. All counts are over the
+    distinct texts, so copies prove nothing. Only a term of at most total *
+    (with_entity / total) ** generalise_at texts can reach the share; others are
+    left out before pairs are formed. The entities of one text alone have equal
+    counts and are paired as one.
     """
-    near = found.select("doc_id", "text_key", F.explode("near").alias("one")).select("doc_id", "text_key", "one.entity", "one.term")
-    per_doc = near.distinct()
-    pairs = per_doc.groupBy("entity", "term").agg(
-        F.count("*").alias("joint"), F.countDistinct("text_key").alias("texts")
+    marked = checkpointed(
+        found.filter(F.size("spans") > 0)
+        .dropDuplicates(["text_key"])
+        .select(
+            "text_key",
+            F.array_distinct(F.transform("spans", lambda s: s["entity"])).alias("entities"),
+            F.array_union(_words(F.col("text")), _words(_masked(F.col("text"), F.col("spans")))).alias("words"),
+        )
     )
-    pairs = checkpointed(pairs.filter(F.col("texts") >= least_texts))
-    entities = (
-        found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count("*").alias("with_entity"))
+    total = found.select("text_key").distinct().agg(F.count("*").alias("total"))
+    entities = marked.select("text_key", F.explode("entities").alias("entity"))
+    counts = entities.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    most = F.col("total") * F.pow(F.col("with_entity") / F.col("total"), F.lit(generalise_at)) * (1 + 1e-9)
+    own = F.when(F.col("with_entity") == 1, F.concat(F.lit("text:"), F.col("text_key").cast("string"))).otherwise(F.col("entity"))
+    entities = checkpointed(
+        entities.join(counts, "entity")
+        .crossJoin(F.broadcast(total))
+        .select("text_key", own.alias("entity"), "with_entity", "total", most.alias("most"))
+        .distinct()
     )
-    words = F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    total = docs.agg(F.count("*").alias("total"))
-    counted = pairs.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
-    share = _share(F.col("joint"), F.greatest("with_term", "joint"), F.greatest("with_entity", "joint"), F.col("total"))
-    return counted.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise_at)
+    texts = docs.select(whole_text().alias("text")).withColumn("text_key", F.xxhash64("text")).dropDuplicates(["text_key"])
+    known = checkpointed(texts.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term")))
+    bound = entities.agg(F.max(F.greatest(F.col("most"), F.col("total") / COMMON)).alias("bound"))
+    common = known.crossJoin(F.broadcast(bound)).filter(F.col("with_term") > F.col("bound")).select("term")
+    words = marked.select("text_key", F.explode("words").alias("term")).join(F.broadcast(common), "term", "left_anti")
+    words = words.join(known, "term", "left").fillna(1, ["with_term"])
+    pairs = checkpointed(words.join(entities, "text_key").filter(F.col("with_term") <= F.col("most")))
+    counted = pairs.groupBy("entity", "term", "with_term", "with_entity", "total").agg(F.count("*").alias("joint"))
+    term = F.greatest("with_term", "joint")
+    numbers = [F.col("joint"), term, F.col("with_entity"), F.col("total")]
+    revealing = counted.filter(_chance(*numbers) <= chance).select("entity", "term", _share(*numbers).alias("share"))
+    revealing = revealing.filter(F.col("share") >= generalise_at)
+    return pairs.join(revealing, ["entity", "term"]).groupBy("text_key", "term").agg(F.max("share").alias("share"))
 
 
 def personal_data(
     docs: DataFrame,
     generalise_at: float = GENERALISE_AT,
     remove_at: float = REMOVE_AT,
-    least_texts: int = LEAST_TEXTS,
+    chance: float = CHANCE,
 ) -> DataFrame:
     """Per row: doc_id, text_key, spans (base) and terms (array<struct<start, end, action>>).
 
@@ -159,28 +205,21 @@ def personal_data(
     """
     text = docs.select("doc_id", whole_text().alias("text"))
     keyed = text.withColumn("text_key", F.xxhash64("text")).withColumn("spans", base_spans(F.col("text")))
-    found = checkpointed(
-        keyed.select(
-            "doc_id",
-            "text_key",
-            "spans",
-            F.when(F.size("spans") > 0, _near_terms(F.col("text"), F.col("spans"))).alias("near"),
-        )
-    )
-    revealing = disclosing_terms(docs, found, generalise_at, least_texts)
+    found = checkpointed(keyed.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))))
+    revealing = disclosing_terms(docs, found, generalise_at, chance)
     action = F.when(F.col("share") >= remove_at, "remove").otherwise("generalise")
-    hits = (
-        found.select("doc_id", "text_key", F.explode("near").alias("one"))
-        .select("doc_id", "text_key", "one.*")
-        .join(revealing, ["entity", "term"])
-        .groupBy("doc_id", "text_key", "start", "end")
-        .agg(F.max(action).alias("action"))
-        .groupBy("doc_id", "text_key")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-        .withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"})
+    actions = (
+        revealing.groupBy("text_key")
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", action))).alias("actions"))
+        .withColumnRenamed("text_key", "hit_key")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))
-    return found.drop("near").join(hits, same, "left").drop("hit_id", "hit_key")
+    hits = found.filter(F.size("spans") > 0).join(actions, F.col("text_key") == F.col("hit_key"), "left")
+    hits = hits.withColumn("text", _masked(F.col("text"), F.col("spans")))
+    hits = hits.withColumn("terms", F.when(F.col("actions").isNotNull(), _placed(F.col("text"), F.col("actions"))))
+    hits = hits.select("doc_id", "text_key", "spans", F.when(F.size("terms") > 0, F.col("terms")).alias("terms"))
+    nothing = F.lit(None).cast("array<struct<start:int,end:int,action:string>>")
+    rest = found.filter(F.size("spans") == 0).select("doc_id", "text_key", "spans", nothing.alias("terms"))
+    return hits.unionByName(rest)
 
 
 def sanitised(docs: DataFrame, found: DataFrame) -> DataFrame:

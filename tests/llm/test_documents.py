@@ -111,6 +111,16 @@ def test_copies_prove_nothing(spark):
     assert all(r.terms is None for r in privacy.personal_data(frame(spark, texts)).collect())
 
 
+def test_terms_of_a_single_text(spark):
+    far = "words stand here " * 20
+    texts = [f"Zorblatt came {far}and wrote to ann@host.org"] + [f"{far}came and wrote to nobody {i}"  for i in range(40)]
+    docs = frame(spark, [*texts, texts[0]])
+    found = privacy.personal_data(docs)
+    rows = {r.doc_id: r for r in found.collect()}
+    assert all([(t.start, t.end, t.action) for t in rows[d].terms] == [(0, 8, "remove")] for d in (0, 41))
+    assert all(rows[d].terms is None for d in range(1, 41))
+
+
 def edited(texts):
     order = sorted(texts, reverse=True)
     for i, d in enumerate(order):

@@ -86,14 +86,14 @@ class WordEncoder:
     between single spaces, each with its space, join to the ids of the text.
     New words are asked together, as one text: each starts with the only one
     of its ids that holds a space. Texts with other white space beside a space,
-    or none, are given to the tokenizer whole.
+    or none, and texts that hold an added token are given to the tokenizer whole.
     """
 
     def __init__(self, path: str, id_type: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.id_type = np.dtype(id_type)
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(_SPACE)]] = True
@@ -107,7 +107,10 @@ class WordEncoder:
         """Ids of the words, each as after a space; no word is empty or begins with white space."""
         if not new:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, self.id_type)
+        text = " " + " ".join(new)
+        if any(token in text for token in self.added):
+            return self.whole([" " + w for w in new])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.id_type)
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(new):
             return self.whole([" " + w for w in new])
@@ -132,6 +135,9 @@ class WordEncoder:
         for head, x, y in zip(heads, ends, ends[1:], strict=False):
             rest = pieces[x + 1 : y]
             out.append(None if None in rest else head + b"".join(rest))
+        for token in self.added:
+            for i in np.flatnonzero(pc.match_substring(texts, token).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = None
         odd = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(odd, self.whole(texts.take(pa.array(odd, pa.int64())).to_pylist()), strict=True):
             out[i] = ids

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -188,6 +189,16 @@ def test_token_files(spark, small, small_dir, tmp_path, hard):
         start += len(want)
 
 
+def test_added_tokens_as_the_library_reads_them():
+    texts = ["foo <|endoftext|> bar", "a<|endoftext|>b c", "foo bar", "<|endoftext|>", "it is <| endoftext|> x"]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [21943, 220, 50256, 2318]
+    encoder = token_files.WordEncoder(TOKENIZER, "<u2")
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(pa.array(texts))] == want
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     token_files.write_token_files(frame(spark, []), str(tmp_path / "none"), TOKENIZER)
     assert token_files.read_documents(spark, str(tmp_path / "none")).count() == 0

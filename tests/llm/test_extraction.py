@@ -99,3 +99,28 @@ def test_boosted_trees_learn():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     model = boosting.BoostedTrees(trees=40).fit(x[:2000], y[:2000], np.ones(2000))
     assert np.mean((model.log_odds(x[2000:]) > 0) == (y[2000:] > 0)) > 0.95
+
+
+def read_whole(source):
+    page = Page(source)
+    return page.text([True] * len(page.tags))
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<p>one<svg width='1'/> two<math/> three</p><article>four</article>", "one two three four"),
+        ("<datalist><option>a<option>b</datalist><article><p>kept</article>", "kept"),
+        ("<select><option>a<option>b</select><p>kept", "kept"),
+        ("<p><option>a<article><p>kept</article><option>b</option><p>more", "kept more"),
+        ("<div><button>Menu</div><article><p>kept</article><button>x</button><p>more", "kept more"),
+        ("<button>Menu<article><p>kept</article>", "kept"),
+        ("<button><div>Menu</div></button><p>kept", "kept"),
+        ("<p>a<math><mi>x</mi></math>b <video><p>no</p></video>c", "ab c"),
+        ("<svg><g><svg>no</svg>no</g></svg><p>kept", "kept"),
+        ("<template><ul><li>no<li>no</ul></template><ul><li>kept<li>too</ul>", "kept too"),
+        ("<p>a</p><script>no<p>no", "a"),
+    ],
+)
+def test_dropped_elements_end(source, text):
+    assert read_whole(source) == text

@@ -24,12 +24,25 @@ _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*|[^>]*)(?:>|\Z)""", re.S
 )
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*-)|display\s*:\s*none|aria-hidden\s*=\s*"?true""", re.I)
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _LABEL = re.compile(r'\bdata-y="([01])"')
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW | _DROPPED}
 _NEXT = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in _NOT_NESTED}
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether the attributes hide the element: hidden, aria-hidden=true or its style."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    for name, value in _ATTRIBUTE.findall(attrs):
+        name = name.lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip("\"' ").lower() == "true" or name == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 class Page:
     """Block elements in page order; node 0 is the root, parents come before children."""
 
@@ -132,7 +145,7 @@ class Page:
                 names = " ".join(_NAMED.findall(attrs)) if "=" in attrs else ""
                 self.names.append(names)
                 label = _LABEL.search(attrs) if "data-y" in attrs else None
-                hide = _HIDDEN.search(attrs) if attrs else None
+                hide = attrs and _hidden(attrs)
                 self.marks.append(label[1] if label else "hidden" if hide or tag == "head" else "")
                 node = len(tags) - 1
             links += tag == "a"

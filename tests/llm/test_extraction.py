@@ -124,3 +124,22 @@ def read_whole(source):
 )
 def test_dropped_elements_end(source, text):
     assert read_whole(source) == text
+
+
+@pytest.mark.parametrize(
+    "attributes, hidden",
+    [
+        ('class="overflow-hidden p-4"', False),
+        ("class=hidden", False),
+        ('aria-hidden="false"', False),
+        ('title="The hidden valley"', False),
+        ('style="overflow:hidden"', False),
+        ("hidden", True),
+        ('class="a" HIDDEN=""', True),
+        ("aria-hidden='true'", True),
+        ('style="color:red; display : none"', True),
+        ("style='visibility:hidden'", True),
+    ],
+)
+def test_hidden_is_an_attribute(attributes, hidden):
+    assert (Page(f"<p {attributes}>x</p>").marks[1] == "hidden") == hidden

@@ -6,9 +6,10 @@ powers of two. Equal multisets of paragraphs have equal sums in any order, and
 a paragraph is added or taken away by adding or subtracting its vector.
 
 The vector has two parts. Eight lanes modulo 2**32 identify the paragraph.
-Sixty lanes modulo 2**20 count random bits of the paragraph's pieces of four
-words, so the distance of two sums estimates how many pieces differ. The last
-lane counts the pieces.
+Sixty lanes modulo 2**31 count random bits of the paragraph's pieces, every run
+of four words in it, so the distance of two sums estimates how many pieces
+differ and a word put in or taken out changes four at most. The last lane counts
+the pieces.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ from pyspark.sql import functions as F
 
 from shotmetrics.operators.lineage import checkpointed
 
-from .shared import parallel_parts, whole_text
+from .shared import WORD_PATTERN, bound, parallel_parts, whole_text
 
 # Fixed values of the fingerprint's form.
-PIECE = r"[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,3}"
+PIECE_WORDS = 4
 ID_HASHES = 4
 ID_BITS = 32
-BIT_WORDS = 20
-LANE_BITS = 20
-LANES_PER_WORD = 3
+BIT_WORDS = 30
+LANE_BITS = 31
+LANES_PER_WORD = 2
 
 ID_LANES = 2 * ID_HASHES
 BIT_LANES = LANES_PER_WORD * BIT_WORDS
@@ -45,15 +46,17 @@ def _total(items: Column, value, mask: int) -> Column:
     return F.aggregate(items, F.lit(0).cast("bigint"), lambda s, x: (s + value(x)).bitwiseAND(F.lit(mask)))
 
 
+def windows(words: Column) -> Column:
+    """Hashes of every PIECE_WORDS words in a row, or of all words if there are fewer; none without words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - PIECE_WORDS + 1, F.lit(1)))
+    found = F.transform(starts, lambda i: F.xxhash64(F.lit(ID_HASHES), F.array_join(F.slice(words, i, PIECE_WORDS), " ")))
+    return F.when(F.size(words) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
 def hashed(text: Column) -> Column:
     """Hashes of a text: per paragraph an array of identity hashes, and the piece hashes."""
     ids = F.transform(paragraphs(text), lambda p: F.array(*[F.xxhash64(F.lit(i), p) for i in range(ID_HASHES)]))
-    pieces = F.flatten(
-        F.transform(
-            paragraphs(text),
-            lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), lambda q: F.xxhash64(F.lit(ID_HASHES), q)),
-        )
-    )
+    pieces = F.flatten(F.transform(paragraphs(text), lambda p: bound(F.regexp_extract_all(p, F.lit(WORD_PATTERN), F.lit(0)), windows)))
     return F.struct(ids.alias("ids"), pieces.alias("pieces"))
 
 

@@ -162,6 +162,16 @@ def test_fingerprint_is_homomorphic(spark):
     assert fingerprints.edit_likeness(frame(spark, [])).count() == 0
 
 
+def test_likeness_of_a_word_put_in_front(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(["new", *words]), " ".join(words[:200] + words[201:]), " ".join(f"v{i}" for i in range(400))]
+    rows = {r.doc_id: r.vector for r in fingerprints.fingerprints(frame(spark, texts)).collect()}
+    assert rows[0][-1] == 397 and rows[1][-1] == 398
+    pairs = spark.createDataFrame([(d, rows[0], rows[d]) for d in (1, 2, 3)], "d int, a array<bigint>, b array<bigint>")
+    near = {r.d: r.near for r in pairs.select("d", fingerprints.likeness(pairs.a, pairs.b).alias("near")).collect()}
+    assert near[1] > 0.9 and near[2] > 0.9 and near[3] < 0.5
+
+
 def test_repeated_and_null_ids(spark):
     docs = frame(spark, ["a b c", "a b c", None, "z y x"], [1, 1, 2, None])
     rows = fingerprints.edit_likeness(docs).collect()

@@ -185,7 +185,6 @@ def test_token_files(spark, small, small_dir, tmp_path, hard):
     texts = dict(enumerate(HARD)) if hard else dict(small)
     docs = frame(spark, HARD) if hard else spark.read.parquet(f"{small_dir}/documents.parquet")
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     folder = str(tmp_path / "files")
     token_files.write_token_files(docs, folder, TOKENIZER)
     rows = {r.doc_id: r for r in token_files.read_documents(spark, folder).collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shotmetrics.operators.lineage import ensure_checkpoint_dir
 
-from . import decontamination, extraction, fingerprints, mixing, near_dedup, privacy, repeats, sharding, token_files, toxicity
+from . import clustering, decontamination, extraction, fingerprints, mixing, near_dedup, privacy, repeats, sharding, token_files, toxicity
 from .shared import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,37 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     texts = extraction.extracted(spark, pages, extraction.fit(pages))
     return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def _centroids_sql(k: int = 8, rounds: int = 10, seed: int = 3) -> str:
+    """Lloyd's rounds unrolled: a{r} assigns with c{r}, c{r+1} takes floor means, empty clusters keep theirs."""
+    dist = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    parts = [
+        """v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))""",
+        f"""c0 AS (SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1)::INT AS cid, v AS c
+    FROM v QUALIFY cid < {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} AS (SELECT rid, vec_id, v, arg_min(cid, {dist} * 64 + cid) AS cid, min({dist}) AS d FROM v, c{r} GROUP BY ALL)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""s{r} AS (SELECT cid, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY ALL),
+m{r} AS (SELECT cid, list(CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END ORDER BY i)::BIGINT[] AS c FROM s{r} GROUP BY cid),
+c{r + 1} AS (SELECT * FROM m{r} UNION ALL SELECT * FROM c{r} WHERE cid NOT IN (SELECT cid FROM m{r}))"""
+            )
+    body = ",\n".join(parts)
+    return f"""WITH {body}
+SELECT vec_id, cid AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY cid))::BIGINT AS cluster_inertia,
+    (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cid)"""
+
+
+ORACLES["op12_centroids"] = _centroids_sql()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shotmetrics.operators.lineage import ensure_checkpoint_dir
 
-from . import clustering, decontamination, extraction, fingerprints, mixing, near_dedup, privacy, repeats, sharding, token_files, toxicity
+from . import clustering, decontamination, extraction, fingerprints, mixing, near_dedup, privacy, repair, repeats, sharding, token_files, toxicity
 from .shared import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,8 @@ FROM a{rounds} JOIN c{rounds} USING (cid)"""
 
 
 ORACLES["op12_centroids"] = _centroids_sql()
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shotmetrics.operators.lineage import ensure_checkpoint_dir
 
-from . import clustering, decontamination, extraction, fingerprints, mixing, near_dedup, privacy, repair, repeats, sharding, token_files, toxicity
+from . import clustering, decontamination, extraction, fingerprints, mixing, near_dedup, packing, privacy, repair, repeats, sharding, token_files, toxicity
 from .shared import table, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,11 @@ ORACLES["op12_centroids"] = _centroids_sql()
 @query
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
 from .features import feature_stages, model_frame, split_group
-from .lineage import checkpointed
 
 SEED = 42
 # Settings of the boosted model.
@@ -17,11 +17,11 @@ BOOST_ROUNDS = 350
 BOOST_RATE = 0.05
 BOOST_DEPTH = 6
 BOOST_ROWS = 0.9
-BOOST_COLUMNS = "0.9"
-BOOST_MIN_ROWS = 2
+BOOST_COLUMNS = 0.9
+BOOST_MIN_WEIGHT = 2.0
+BOOST_L2 = 1.0
 # Bound of the boosted fit: so many labelled rows, in whole games chosen by a hash.
 FIT_ROWS = 40_000
-ROWS_PER_TASK = 50_000
 
 
 def fit_logistic(train: DataFrame, n_rows: int, max_iter: int = 1000) -> PipelineModel:
@@ -43,24 +43,29 @@ def bounded_sample(train: DataFrame, n_rows: int, bound: int) -> DataFrame:
 def fit_boosted(
     train: DataFrame, rounds: int = BOOST_ROUNDS, depth: int = BOOST_DEPTH, fit_rows: int = FIT_ROWS
 ) -> PipelineModel:
-    """Boosted trees on logistic loss; split statistics are gathered by Spark tasks.
+    """Second-order histogram boosting on logistic loss (operators/boosting.py), after the feature stages.
 
-    At most about ``fit_rows`` labelled rows are fitted, in few tasks, as each
-    level of each tree is a job of its own.
+    At most about ``fit_rows`` labelled rows are fitted, in whole games chosen
+    by a hash; every level of every tree is counted over all of the session's
+    shuffle tasks and merged by a grouped sum.
     """
     n_rows = train.count()
-    tasks = max(1, -(-min(n_rows, fit_rows) // ROWS_PER_TASK))
-    train = checkpointed(bounded_sample(train, n_rows, fit_rows).coalesce(tasks))
-    model = GBTClassifier(
-        maxIter=rounds,
-        stepSize=BOOST_RATE,
-        maxDepth=depth,
-        subsamplingRate=BOOST_ROWS,
-        featureSubsetStrategy=BOOST_COLUMNS,
-        minInstancesPerNode=BOOST_MIN_ROWS,
+    rows = model_frame(bounded_sample(train, n_rows, fit_rows))
+    features = feature_stages().fit(rows)
+    key = "shot_id" if "shot_id" in train.columns else None
+    boosted = boosting.fit(
+        features.transform(rows),
+        rounds=rounds,
+        depth=depth,
+        rate=BOOST_RATE,
+        lam=BOOST_L2,
+        min_child_weight=BOOST_MIN_WEIGHT,
+        row_share=BOOST_ROWS,
+        column_share=BOOST_COLUMNS,
         seed=SEED,
+        key=key,
     )
-    return Pipeline(stages=[*feature_stages().getStages(), model]).fit(model_frame(train))
+    return PipelineModel(stages=[*features.stages, boosted])
 
 
 def score(model: PipelineModel, shots: DataFrame) -> DataFrame:

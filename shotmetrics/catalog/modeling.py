@@ -131,3 +131,31 @@ def split_sizes(spark, sf_dir):
         F.count_if(~F.col("is_test")).alias("n_train"),
         F.count_if("is_test").alias("n_test"),
     )
+
+
+@query(
+    "logistic_optimality",
+    """WITH m(model) AS (VALUES ('baseline_logistic'), ('propensity')) SELECT model, true AS first_order_holds FROM m""",
+)
+def logistic_optimality(spark, sf_dir):
+    """Both logistic fits meet the penalised first-order condition on every column, over their whole training tables."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..operators import newton
+    from ..operators.features import model_frame
+
+    train, _ = _split(spark, sf_dir)
+    baseline = modeling.fit_logistic(train, train.count())
+    rows = model_frame(train)
+    for stage in baseline.stages[:-1]:
+        rows = stage.transform(rows)
+    first = newton.gradient_check(baseline.stages[-1], rows).select(F.lit("baseline_logistic").alias("model"), "largest_gradient")
+    valid = checkpointed(causal.complete_cases(causal.with_treatment(causal.player_season_panel(joined(spark, sf_dir)))))
+    stats = valid.agg(*[F.avg(c).alias(f"m_{c}") for c in causal.CONFOUNDERS], *[F.stddev_pop(c).alias(f"s_{c}") for c in causal.CONFOUNDERS]).first()
+    scaled = valid.withColumns({f"_z_{c}": (F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0) for c in causal.CONFOUNDERS})
+    assembled = VectorAssembler(inputCols=[f"_z_{c}" for c in causal.CONFOUNDERS], outputCol="_features").transform(scaled)
+    model = newton.fit(assembled, features="_features", label="treatment")
+    second = newton.gradient_check(model, assembled, features="_features", label="treatment").select(
+        F.lit("propensity").alias("model"), "largest_gradient"
+    )
+    return first.unionByName(second).select("model", (F.col("largest_gradient") < 1e-6).alias("first_order_holds"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import logging
 import math
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import court
 from ..functions.numeric import DISTANCE_UNIT, clip, exact_mean, exact_sum, mean_flag, mean_int, round_half_away, two_sided_p
+from . import newton
 from .bootstrap import replicate_sums, spread_of, with_spread
 from .lineage import checkpointed
 from .ranking import exact_quantiles, running_totals
@@ -75,11 +75,11 @@ def complete_cases(panel: DataFrame) -> DataFrame:
     return panel.dropna(subset=[*CONFOUNDERS, "treatment"])
 
 
-def propensity_scores(panel: DataFrame, max_iter: int = 1000) -> DataFrame:
+def propensity_scores(panel: DataFrame, max_iter: int = 100) -> DataFrame:
     """Complete rows with treatment and propensity_score from a logistic fit.
 
     Confounders are standardised with the population SD; the penalty is that
-    of a unit ridge on the summed loss.
+    of a unit ridge on the summed loss, solved by Newton steps (operators/newton.py).
     """
     valid = checkpointed(complete_cases(with_treatment(panel)))
     # ten numbers and a count
@@ -96,15 +96,7 @@ def propensity_scores(panel: DataFrame, max_iter: int = 1000) -> DataFrame:
         {f"_z_{c}": (F.col(c) - F.lit(fit[f"m_{c}"])) / F.lit(fit[f"s_{c}"] or 1.0) for c in CONFOUNDERS}
     )
     assembled = VectorAssembler(inputCols=[f"_z_{c}" for c in CONFOUNDERS], outputCol="_features").transform(scaled)
-    model = LogisticRegression(
-        featuresCol="_features",
-        labelCol="treatment",
-        probabilityCol="_probability",
-        regParam=1.0 / fit["n"],
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-    ).fit(assembled)
+    model = newton.fit(assembled, features="_features", label="treatment", l2=1.0, max_steps=max_iter, probability="_probability")
     scored = model.transform(assembled).withColumn("propensity_score", vector_to_array("_probability")[1])
     return scored.select(*valid.columns, "propensity_score")
 

@@ -120,8 +120,9 @@ def model_matrix(spark, sf_dir):
 @query(
     "group_split",
     f"""{fixture_sql()}
-SELECT shot_id, game_id,
-  CAST('0x' || substr(md5(game_id || '42'), 1, 8) AS BIGINT) % 10000 < 2000 AS is_test FROM shots""",
+SELECT shot_id, game_id, is_test FROM shots JOIN (
+  SELECT grp, row_number() OVER (ORDER BY h, grp) <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS is_test FROM (
+    SELECT DISTINCT game_id AS grp, CAST('0x' || substr(md5(game_id || '42'), 1, 8) AS BIGINT) AS h FROM shots)) ON game_id = grp""",
 )
 def group_split(spark, sf_dir):
     return features.with_split(shots(spark, sf_dir)).select("shot_id", "game_id", "is_test")

@@ -120,7 +120,9 @@ def propensity_checks(spark, sf_dir):
 @query(
     "split_sizes",
     f"""{fixture_sql()}, marked AS (
-  SELECT *, CAST('0x' || substr(md5(game_id || '42'), 1, 8) AS BIGINT) % 10000 < 2000 AS is_test FROM shots)
+  SELECT * FROM shots JOIN (
+    SELECT grp, row_number() OVER (ORDER BY h, grp) <= ceil(CAST(0.2 AS DOUBLE) * count(*) OVER ()) AS is_test FROM (
+      SELECT DISTINCT game_id AS grp, CAST('0x' || substr(md5(game_id || '42'), 1, 8) AS BIGINT) AS h FROM shots)) ON game_id = grp)
 SELECT season, season_type, count(*) AS n_shots_total, count(*) FILTER (NOT is_test) AS n_train,
   count(*) FILTER (is_test) AS n_test FROM marked GROUP BY 1, 2""",
 )

@@ -102,11 +102,41 @@ def split_group(shots: DataFrame) -> Column:
 
 
 def with_split(shots: DataFrame, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Add is_test, equal for all rows of a group, for about this share of groups.
-
-    The decision is a hash of the group, so it needs no shuffle and holds for
-    rows that arrive later.
+    """Add is_test, equal for all rows of a group, for exactly ceil(test_share * groups) groups.
+
+    The test groups are those of least 32-bit hash of (group, seed), ties by
+    the group key. The k-th least hash is found without a sort: groups are
+    counted by the top 12 bits of their hash, then by the next 12 bits within
+    the bucket where the count reaches k, then by the last 8 bits; each pass is
+    one grouped count of at most 4,096 rows. Groups sharing the boundary hash
+    (a handful at most) come to the driver to be ordered by key.
     """
-    digest = F.md5(F.concat(split_group(shots), F.lit(str(seed))))
+    import math
+
+    group = split_group(shots)
+    digest = F.md5(F.concat(group, F.lit(str(seed))))
     number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    return shots.withColumn("is_test", F.pmod(number, F.lit(10000)) < int(round(test_share * 10000)))
+    marked = shots.withColumn("_group", group).withColumn("_hash", number)
+    groups = marked.select("_group", "_hash").distinct()
+    n_groups = groups.count()
+    k = math.ceil(test_share * n_groups)
+    if k <= 0:
+        return marked.drop("_group", "_hash").withColumn("is_test", F.lit(False))
+    if k >= n_groups:
+        return marked.drop("_group", "_hash").withColumn("is_test", F.lit(True))
+    prefix, below = 0, 0
+    for shift, width in ((20, 12), (8, 12), (0, 8)):
+        known = F.shiftright(F.col("_hash"), shift + width)
+        counts = (
+            groups.where(known == F.lit(prefix)) if shift != 20 else groups
+        ).groupBy(F.shiftright(F.col("_hash"), shift).bitwiseAND((1 << width) - 1).alias("b")).count()
+        for row in sorted(counts.collect()):
+            if below + row["count"] >= k:
+                prefix = (prefix << width) | row["b"]
+                break
+            below += row["count"]
+    # prefix is now the k-th least hash; `below` groups lie under it.
+    tied = sorted(r["_group"] for r in groups.where(F.col("_hash") == prefix).select("_group").collect())
+    chosen = tied[: k - below]
+    test = (F.col("_hash") < prefix) | ((F.col("_hash") == prefix) & F.col("_group").isin(chosen))
+    return marked.withColumn("is_test", test).drop("_group", "_hash")

@@ -28,9 +28,10 @@ from .shared import parallel_parts, whole_text
 END_ID = 2
 SEGMENT_IDS = 1 << 18
 SAMPLE = 64
-# New words are no longer kept beyond this many; they are then asked each time.
-CACHED_WORDS = 800_000
-ENCODED_TOGETHER = 3_000
+# New words are no longer kept once the kept words and their ids hold this many bytes; they are then asked each time.
+CACHED_BYTES = 24 << 20
+# Texts are encoded together up to this many UTF-8 bytes (a longer text alone).
+ENCODED_BYTES = 4 << 20
 # Fixed value: how the byte-level vocabulary writes a space.
 _SPACE = "\u0120"
 SEGMENT_SCHEMA = (
@@ -98,6 +99,7 @@ class WordEncoder:
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(_SPACE)]] = True
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -125,8 +127,10 @@ class WordEncoder:
         table = list(map(self.known.get, words))
         new = [w for w, ids in zip(words, table, strict=True) if ids is None and w and not w[0].isspace()]
         fresh = dict(zip(new, self.words(new), strict=True))
-        if len(self.known) < CACHED_WORDS:
+        if self.known_bytes < CACHED_BYTES:
             self.known.update(fresh)
+            # Python's own overhead of a short string and a bytes object is about a hundred bytes.
+            self.known_bytes += sum(len(w) + len(ids) + 100 for w, ids in fresh.items())
         # What is left None is empty or begins with white space: such texts are encoded whole.
         table = [fresh.get(w) if ids is None else ids for w, ids in zip(words, table, strict=True)]
         pieces = list(map(table.__getitem__, coded.indices.to_numpy().tolist()))
@@ -167,7 +171,8 @@ def token_segments(docs: DataFrame, tokenizer: str, id_bytes: int = 2, end_id: i
     """
     id_type = {2: "<u2", 4: "<u4"}[id_bytes]
     parts = parallel_parts(docs.sparkSession)
-    rows = docs.select("doc_id", whole_text().alias("text")).repartitionByRange(parts, "doc_id")
+    # Ranges of (doc_id, text): rows with one id, or none, can fill several tasks.
+    rows = docs.select("doc_id", whole_text().alias("text")).repartitionByRange(parts, "doc_id", "text")
     rows = rows.withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +180,15 @@ def token_segments(docs: DataFrame, tokenizer: str, id_bytes: int = 2, end_id: i
         end = np.array([end_id], id_type).tobytes()
         number, held, part, doc_ids, blobs = 0, 0, 0, [], []
         for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, ENCODED_TOGETHER):
-                batch = whole_batch.slice(at, ENCODED_TOGETHER)
+            ends = np.cumsum(pc.binary_length(whole_batch["text"]).to_numpy(zero_copy_only=False))
+            cuts, at = [], 0
+            while at < whole_batch.num_rows:
+                base = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, base + ENCODED_BYTES, side="right")))
+                cuts.append((at, stop))
+                at = stop
+            for at, stop in cuts:
+                batch = whole_batch.slice(at, stop - at)
                 part = batch["part"][0].as_py()
                 for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"]), strict=True):
                     doc_ids.append(doc_id)

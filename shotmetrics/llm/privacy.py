@@ -226,31 +226,36 @@ def sanitised(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with base spans replaced by their kind and disclosing terms generalised or removed.
 
     Of overlapping base spans the one that starts first is replaced, the longer
-    of two that start together.
+    of two that start together. A null text stays null; rows without spans
+    keep their text; other columns, whatever their names, come back as given.
     """
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
     terms = F.transform(
         F.coalesce("terms", F.array()),
         lambda t: F.struct(t["start"].alias("start"), (-t["end"]).alias("back"), F.when(t["action"] == "remove", "").otherwise("[TERM]").alias("put")),
     )
-    cuts = found.select(F.col("doc_id").alias("cut_id"), "text_key", F.array_sort(F.concat(base, terms)).alias("cuts")).dropDuplicates(["cut_id", "text_key"])
-    rows = docs.withColumn("text_key", F.xxhash64(whole_text()))
+    cuts = found.select(
+        F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"), F.array_sort(F.concat(base, terms)).alias("_cuts")
+    ).dropDuplicates(["_cut_id", "_cut_key"])
+    # The row travels as one struct, so columns of any name (text_key, cuts, ...) cannot clash with these.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"))
+    whole = F.coalesce(F.col("_text"), F.lit(""))
+    rows = rows.withColumn("_key", F.xxhash64(whole))
 
     def step(done: Column, cut: Column) -> Column:
         fits = cut["start"] >= done["at"]
-        upto = F.substr(whole_text(), done["at"] + 1, cut["start"] - done["at"])
+        upto = F.substr(whole, done["at"] + 1, cut["start"] - done["at"])
         return F.struct(
             F.when(fits, -cut["back"]).otherwise(done["at"]).alias("at"),
             F.when(fits, F.concat(done["out"], upto, cut["put"])).otherwise(done["out"]).alias("out"),
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(
-        "cuts", start, step, lambda done: F.concat(done["out"], F.substr(whole_text(), done["at"] + 1, F.length(whole_text())))
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("cut_id")) & (rows["text_key"] == cuts["text_key"])
-    replaced = F.when(F.col("text").isNotNull(), text)
-    return rows.join(cuts, same, "left").withColumn("text", replaced).select(*docs.columns)
+    text = F.aggregate("_cuts", start, step, lambda done: F.concat(done["out"], F.substr(whole, done["at"] + 1, F.length(whole))))
+    same = F.col("_doc_id").eqNullSafe(F.col("_cut_id")) & (F.col("_key") == F.col("_cut_key"))
+    replaced = F.when(F.col("_text").isNotNull(), text)
+    joined = rows.join(cuts, same, "left")
+    return joined.select(F.col("_row").withField("text", replaced).alias("_row")).select("_row.*")
 
 
 def span_digest(found: DataFrame) -> DataFrame:

@@ -266,3 +266,15 @@ def test_communication_matrix_is_exact_and_unbiased():
     rng = random.Random(3)
     drawn = np.bincount([sharding.hypergeometric(rng, 8, 12, 6) for _ in range(6000)], minlength=7) / 6000
     assert np.allclose(drawn, [comb(8, k) * comb(12, 6 - k) / comb(20, 6) for k in range(7)], atol=0.025)
+
+
+def test_sanitised_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame(
+        [(1, "mail me at someone@example.org now", "k", "c", 3), (2, None, None, None, 4), (3, "nothing here", "x", "y", 5)],
+        "doc_id long, text string, text_key string, cuts string, _row int",
+    )
+    found = privacy.personal_data(docs)
+    out = {r.doc_id: r for r in privacy.sanitised(docs, found).collect()}
+    assert out[1].text == "mail me at [EMAIL] now" and (out[1].text_key, out[1].cuts, out[1]._row) == ("k", "c", 3)
+    assert out[2].text is None and out[3].text == "nothing here"
+    assert privacy.sanitised(docs, found).columns == docs.columns

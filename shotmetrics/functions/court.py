@@ -182,6 +182,12 @@ def points(shot_type: Column, amount: Column) -> Column:
     return F.when(is_three_by_type(shot_type), 3.0).otherwise(2.0) * amount
 
 
+# A three by geometry, as the original infers it. Corner: at least 22 feet, loc_y at most 140 and
+# |loc_x| at least 220 (tenths of a foot); elsewhere at least 23.75 feet. Texts: "3pt" in the type, "3" in the
+# basic zone, "24+" in the range.
+CORNER_FEET, CORNER_MAX_Y, CORNER_MIN_X, ARC_FEET = 22, 140, 220, 23.75
+
+
 def inferred_three(df: DataFrame) -> Column:
     """1 when anything known about the shot says it was a three, else 0.
 
@@ -194,8 +200,8 @@ def inferred_three(df: DataFrame) -> Column:
         F.lower(text_or(df, "shot_type")).contains("3pt"),
         text_or(df, "shot_zone_basic").contains("3"),
         text_or(df, "shot_zone_range").contains("24+"),
-        (feet >= 22) & (y <= 140) & (F.abs(x) >= 220),
-        feet >= 23.75,
+        (feet >= CORNER_FEET) & (y <= CORNER_MAX_Y) & (F.abs(x) >= CORNER_MIN_X),
+        feet >= ARC_FEET,
     ]
     flag = F.coalesce(signs[0], F.lit(False))
     for s in signs[1:]:

@@ -237,6 +237,7 @@ def difference_in_differences(panel: DataFrame, replicates: int = 500, seed: int
 
 def parallel_trends(means: DataFrame) -> DataFrame:
     """Two rows (treated, control) with their pre and post outcome."""
+    # The two group labels of the original's report, as it writes them.
     groups = F.array(
         F.struct(
             F.lit("Treated (improved selection)").alias("group"),

@@ -155,7 +155,11 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, err
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE) -> DataFrame:
-    """The documents without those that hold a trace of an item; nothing is shuffled."""
+    """The documents without those that hold a trace of an item; nothing is shuffled.
+
+    Null texts read as empty and are kept; repeated rows are judged alike; an
+    empty benchmark keeps every row. All columns come back as given.
+    """
     for block in item_blocks(benchmark):
         docs = docs.filter(_clean(spark.sparkContext.broadcast(block), error_share)(whole_text()))
     return docs

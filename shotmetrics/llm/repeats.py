@@ -255,7 +255,11 @@ def _covered(n: int, firsts: np.ndarray, lasts: np.ndarray, width: int) -> np.nd
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed and kept, the words outside repeated windows joined by one space."""
+    """Per row: doc_id, n_words, n_removed and kept, the words outside repeated windows joined by one space.
+
+    A null text has no words (n_words 0, kept empty). Every input row gives
+    one output row; rows with equal doc_id and text get equal results.
+    """
     found = repeated_windows(docs, width).withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"})
     rows = _packed(docs)
     both = rows.join(found, (rows["doc_id"] == found["hit_id"]) & (rows["text_key"] == found["hit_key"]), "left")
@@ -282,7 +286,8 @@ def matches_of_reference(spark: SparkSession, docs: DataFrame, reference: DataFr
 
     The reference is read in blocks of REFERENCE_WORDS words, or one longer
     text; each block is broadcast, made an automaton in every task, and all
-    documents stream through it.
+    documents stream through it. Null texts on either side read as empty; an
+    empty reference gives no rows.
     """
 
     def blocks() -> Iterator[list[str]]:

@@ -229,7 +229,12 @@ class Index:
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
-    """The index of at most `examples` labelled documents over at most `terms` terms."""
+    """The index of at most `examples` labelled documents over at most `terms` terms.
+
+    Null texts read as empty. Of several rows sharing a doc_id the greatest
+    text and the greatest label are used, so repeated rows count once; labels
+    without a document add nothing. Term frequencies are counted over all rows.
+    """
     chosen = F.broadcast(training_rows(labels, examples).withColumnRenamed("doc_id", "example_id"))
     texts = docs.select("doc_id", whole_text().alias("text"))
     # One text per id: of several rows with one id the greatest.
@@ -281,7 +286,12 @@ def scored(spark: SparkSession, docs: DataFrame, index: Index) -> DataFrame:
 
 
 def accepted(spark: SparkSession, docs: DataFrame, index: Index, limit: float = 0.5) -> DataFrame:
-    """The documents that score below the limit, with all their columns; nothing is shuffled."""
+    """The documents that score below the limit, with all their columns; nothing is shuffled.
+
+    Null and empty texts are scored as the empty text. Every row is scored on
+    its own, so repeated rows are kept or dropped alike; a score equal to the
+    limit drops the row. An empty table gives an empty one.
+    """
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(index))
 
     def below(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -115,7 +115,8 @@ def uniform_shards(
     cut_table = F.broadcast(spark.createDataFrame(cuts, "block int, ends array<bigint>"))
 
     def dealt(frame: DataFrame) -> DataFrame:
-        local = Window.partitionBy("block").orderBy(_hash(seed, "local", keys), *[F.col(f"row.{k}") for k in keys])
+        # The whole row's hash last: rows equal on the keys are then dealt alike on every run.
+        local = Window.partitionBy("block").orderBy(_hash(seed, "local", keys), *[F.col(f"row.{k}") for k in keys], F.xxhash64("row"))
         placed = frame.withColumn("block", block).withColumn("place", F.row_number().over(local))
         shard = F.size(F.filter("ends", lambda end: end < F.col("place")))
         order = _hash(seed, "shard", keys)
@@ -130,7 +131,7 @@ def uniform_shards(
         .agg(F.count("*").alias("n"))
         .select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
-    within = Window.partitionBy("shard", "cell").orderBy("order", *[F.col(f"row.{k}") for k in keys])
+    within = Window.partitionBy("shard", "cell").orderBy("order", *[F.col(f"row.{k}") for k in keys], F.xxhash64("row"))
     return (
         dealt(rows)
         .withColumn("at", F.row_number().over(within))

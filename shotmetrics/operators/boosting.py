@@ -25,18 +25,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from .lineage import checkpointed
 
@@ -46,6 +48,10 @@ SCALE_BITS = 24
 LOCAL_FIT_ROWS = 100_000
 # When levels are jobs over all tasks, margins are written out after so many trees.
 CHECKPOINT_EVERY = 10
+# Rows whose trees are walked together: their bins and nodes stay in the processor's cache.
+WALKED_ROWS = 4096
+# Scores a task keeps, by the bins of the row; further ones are computed each time.
+KEPT_SCORES = 1 << 20
 
 
 def _draw(*parts) -> float:
@@ -91,6 +97,15 @@ class Tree:
             node = np.where(split, np.where(left, 2 * node + 1, 2 * node + 2), node)
         return node
 
+    def completed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, thresholds and values of the same tree with every leaf at the last level: an early leaf goes left all the way."""
+        feature, threshold, value = np.maximum(self.feature, 0), self.threshold.copy(), self.value.copy()
+        for node in range(2**self.depth - 1):
+            if self.feature[node] < 0:
+                threshold[node] = np.iinfo(np.int64).max
+                value[2 * node + 1] = value[node]
+        return feature, threshold, value
+
     def as_dict(self) -> dict:
         used = np.flatnonzero((self.feature >= 0) | (self.value != 0))
         return {
@@ -109,12 +124,57 @@ class Tree:
 
 
 def margins(bins: np.ndarray, trees: list[Tree], depth: int, base: float) -> np.ndarray:
+    """The base and the trees' values added in their order, a few thousand rows at a time."""
     out = np.full(len(bins), base)
-    for t in trees:
-        out += t.value[t.nodes(bins, depth)]
+    full = [t.completed() for t in trees]
+    n_features = bins.shape[1]
+    for at in range(0, len(bins), WALKED_ROWS):
+        part = out[at : at + WALKED_ROWS]
+        flat = np.ascontiguousarray(bins[at : at + WALKED_ROWS]).ravel()
+        starts = np.arange(len(part)) * n_features
+        for feature, threshold, value in full:
+            node = np.zeros(len(part), dtype=np.int64)
+            for _ in range(depth):
+                right = flat.take(starts + feature.take(node)) > threshold.take(node)
+                node = 2 * node + 1 + right
+            part += value.take(node)
     return out
 
 
+class Scorer:
+    """Probabilities of batches of rows; rows with equal bins have one score, computed once and kept.
+
+    The bins of a row are one number, exact as long as all combinations fit a
+    long; with more, every row is walked.
+    """
+
+    def __init__(self, edges: list[list[float]], trees: list[Tree], depth: int, base: float) -> None:
+        self.edges, self.trees, self.depth, self.base = edges, trees, depth, base
+        sizes = [len(cuts) + 1 for cuts in edges]
+        self.steps = np.array([math.prod(sizes[f + 1 :]) for f in range(len(sizes))]) if edges and math.prod(sizes) < 1 << 63 else None
+        self.codes, self.scores = np.empty(0, np.int64), np.empty(0)
+
+    def walked(self, bins: np.ndarray) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-margins(bins, self.trees, self.depth, self.base)))
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        bins = binned(values, self.edges)
+        if self.steps is None:
+            return self.walked(bins)
+        distinct, first, back = np.unique(bins.astype(np.int64) @ self.steps, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.codes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.codes)
+        known[inside] = self.codes[at[inside]] == distinct[inside]
+        scores = np.empty(len(distinct))
+        scores[known] = self.scores[at[known]]
+        scores[~known] = self.walked(bins[first[~known]])
+        if len(self.codes) + np.count_nonzero(~known) <= KEPT_SCORES:
+            self.codes = np.insert(self.codes, at[~known], distinct[~known])
+            self.scores = np.insert(self.scores, at[~known], scores[~known])
+        return scores[back]
+
+
 def row_draw(rid: np.ndarray, seed: int, round_: int) -> np.ndarray:
     """A 32-bit number per row and round from a multiplicative hash of (seed, round, row)."""
     salt = np.uint64((seed * 1_000_003 + round_) * 0x9E3779B97F4A7C15 % 2**64)
@@ -250,12 +310,12 @@ class HistogramBoostModel(Model, DefaultParamsReadable, DefaultParamsWritable):
         edges, depth, base = spec["edges"], spec["depth"], spec["base"]
         trees = [Tree.from_dict(t, depth) for t in spec["trees"]]
 
-        @pandas_udf("double")
-        def p_make(x: pd.Series) -> pd.Series:
-            if x.empty:
-                return pd.Series([], dtype="float64")
-            bins = binned(np.stack(x.to_numpy()).astype(np.float64), edges)
-            return pd.Series(1.0 / (1.0 + np.exp(-margins(bins, trees, depth, base))))
+        @arrow_udf("double")
+        def p_make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            score = Scorer(edges, trees, depth, base)
+            for x in batches:
+                values = x.flatten().to_numpy(zero_copy_only=False)
+                yield pa.array(score(values.reshape(len(x), -1)) if len(x) else [], pa.float64())
 
         p = p_make(vector_to_array("features"))
         return dataset.withColumn("probability", array_to_vector(F.array(1 - p, p)))

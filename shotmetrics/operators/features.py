@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.court import inferred_three, radius
 from ..functions.numeric import lenient_double, text_or
 from ..schema import ZONE_CATEGORIES
+from .lineage import written
 
 # The model's numeric features.
 NUMERIC_FEATURES = ["loc_x", "loc_y", "distance", "angle", "is_3"]
@@ -105,11 +106,11 @@ def with_split(shots: DataFrame, test_share: float = 0.2, seed: int = 42) -> Dat
     """Add is_test, equal for all rows of a group, for exactly ceil(test_share * groups) groups.
 
     The test groups are those of least 32-bit hash of (group, seed), ties by
-    the group key. The k-th least hash is found without a sort: groups are
-    counted by the top 12 bits of their hash, then by the next 12 bits within
-    the bucket where the count reaches k, then by the last 8 bits; each pass is
-    one grouped count of at most 4,096 rows. Groups sharing the boundary hash
-    (a handful at most) come to the driver to be ordered by key.
+    the group key. The k-th least hash is found without a sort: the groups are
+    written once, counted by the top 12 bits of their hash, then by the next 12
+    bits within the bucket where the count reaches k, then by the last 8 bits;
+    each pass is one grouped count of at most 4,096 rows. Groups sharing the
+    boundary hash (a handful at most) come to the driver to be ordered by key.
     """
     import math
 
@@ -117,7 +118,7 @@ def with_split(shots: DataFrame, test_share: float = 0.2, seed: int = 42) -> Dat
     digest = F.md5(F.concat(group, F.lit(str(seed))))
     number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
     marked = shots.withColumn("_group", group).withColumn("_hash", number)
-    groups = marked.select("_group", "_hash").distinct()
+    groups = written(marked.select("_group", "_hash").distinct())
     n_groups = groups.count()
     k = math.ceil(test_share * n_groups)
     if k <= 0:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import boosting, newton
 from .features import feature_stages, model_frame, split_group
+from .lineage import checkpointed
 
 SEED = 42
 # Settings of the boosted model.
@@ -32,11 +33,11 @@ def fit_logistic(train: DataFrame, n_rows: int, max_iter: int = 100) -> Pipeline
 
 
 def bounded_sample(train: DataFrame, n_rows: int, bound: int) -> DataFrame:
-    """About so many rows, in whole groups of the split, chosen by a hash of the group."""
+    """About so many rows, in whole groups of the split, chosen by a hash of the group; written once, as the fit reads them often."""
     if n_rows <= bound:
         return train
     number = F.conv(F.substring(F.md5(F.concat(split_group(train), F.lit("fit"))), 1, 8), 16, 10).cast("bigint")
-    return train.where(number < int(bound / n_rows * 2**32))
+    return checkpointed(train.where(number < int(bound / n_rows * 2**32)))
 
 
 def fit_boosted(

@@ -29,6 +29,8 @@ broadcast only under a checked row count.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -46,27 +48,120 @@ CAPACITY = 4096
 END_ID = 1
 # Texts encoded together in one call, by their UTF-8 bytes.
 BATCH_BYTES = 4 << 20
+# New words are no longer kept once the kept words and their ids hold this many bytes; they are then asked each batch.
+KEPT_BYTES = 48 << 20
+# Normalizer and pattern of a tokenizer whose pieces never hold or look across white space.
+_APART_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_APART_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Pattern rows above this are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 200_000
 PIECES = "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long"
+# A stop mark after a-z, A-Z or a letter of U+00C0 to U+00FF.
+_STOP = re.compile(rb"[.,;:!?](?:(?<=[A-Za-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 
 
-def _tokenizer(path: str):
+def _words_apart(spec: dict) -> bool:
+    """Whether the words between ASCII white space can be encoded each on its own.
+
+    Known for one form of tokenizer: white space becomes a space, which no
+    piece holds and no alternative of the pattern looks at; composing and
+    lower-casing characters do not reach over it.
+    """
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [n["type"] for n in steps] == _APART_NORMALIZER
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [p["type"] for p in splits] == ["Split", "ByteLevel"]
+        and (splits[0]["pattern"], splits[0]["behavior"], splits[0]["invert"]) == ({"Regex": _APART_PATTERN}, "Removed", True)
+        and not splits[1]["use_regex"]
+        and not splits[1]["add_prefix_space"]
+        and not spec.get("truncation")
+        and not spec.get("padding")
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"])
+    )
+
+
+class WordIds:
+    """Ids of whole texts as little-endian uint32 bytes, the tokenizer asked once for each word.
+
+    The ids of a text are those of its words, one after another, where
+    `_words_apart` holds; other tokenizers get the whole texts. New words are asked as one text, with an added token between them
+    that marks where a word's ids end; words that hold an added token are asked
+    on their own.
+    """
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.apart = _words_apart(spec)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.added_bytes = [token.lower().encode() for token in self.added]
+        self.known: dict[bytes, bytes] = {}
+        self.known_bytes = 0
+
+    def words(self, text: bytes) -> list[bytes]:
+        """The text in words that have its ids, with as few spellings of a word as is safe.
+
+        A-Z are lower-cased first, unless a mark that could compose with them or
+        an added token stands in the text, and a stop mark after a Latin letter
+        begins a word, as it begins a piece.
+        """
+        lower = text.lower()
+        if b"\xcc" not in text and b"\xcd" not in text and not any(token in lower for token in self.added_bytes):
+            text = lower
+        return _STOP.sub(rb" \g<0>", text).split()
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def asked(self, new: list[bytes]) -> list[bytes]:
+        words = [w.decode() for w in new]
+        text = " ".join(words)
+        if not self.added or any(token in text for token in self.added):
+            return self.whole(words)
+        mark = self.added[-1]
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.tokenizer.token_to_id(mark))
+        if len(ends) != len(words) - 1:
+            return self.whole(words)
+        raw = ids.tobytes()
+        return [raw[4 * x : 4 * y] for x, y in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True)]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not self.apart:
+            return self.whole([t.decode() for t in texts])
+        split = [self.words(t) for t in texts]
+        table = {w: self.known.get(w) for w in set().union(*split)}
+        new = [w for w, ids in table.items() if ids is None]
+        if new:
+            fresh = dict(zip(new, self.asked(new), strict=True))
+            table.update(fresh)
+            if self.known_bytes < KEPT_BYTES:
+                self.known.update(fresh)
+                # Python's own overhead of two short bytes objects and their place is about 150 bytes.
+                self.known_bytes += sum(len(w) + len(ids) + 150 for w, ids in fresh.items())
+        return [b"".join(map(table.__getitem__, words)) for words in split]
+
+
+def _word_ids(path: str) -> WordIds:
     import sys
     import types
 
-    from tokenizers import Tokenizer
-
     cache = sys.modules.setdefault("_llm_cache_packing", types.SimpleNamespace())
     if getattr(cache, "path", None) != path:
-        cache.path, cache.tokenizer = path, Tokenizer.from_file(path)
-    return cache.tokenizer
+        cache.path, cache.encoder = path, WordIds(path)
+    return cache.encoder
 
 
-def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int]]:
-    """(start, length, crc32 of little-endian uint32 ids) of each piece of one document."""
-    raw = ids.astype("<u4")
-    return [(s, len(raw[s : s + capacity]), zlib.crc32(raw[s : s + capacity].tobytes())) for s in range(0, len(raw), capacity)]
+def cut(raw: bytes, capacity: int) -> list[tuple[int, int, int]]:
+    """(start, length, crc32) of each piece of one document's little-endian uint32 ids."""
+    parts = [(s, raw[4 * s : 4 * (s + capacity)]) for s in range(0, len(raw) // 4, capacity)]
+    return [(s, len(part) // 4, zlib.crc32(part)) for s, part in parts]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -79,9 +174,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("row_id", F.monotonically_increasing_id())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer)
+        encoder = _word_ids(tokenizer)
+        end_bytes = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts, ids_col, rows_col = batch["text"].to_pylist(), batch["doc_id"].to_pylist(), batch["row_id"].to_pylist()
+            texts, ids_col, rows_col = batch["text"].cast(pa.binary()).to_pylist(), batch["doc_id"].to_pylist(), batch["row_id"].to_pylist()
             at = 0
             while at < len(texts):
                 end, size = at, 0
@@ -89,9 +185,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     size += len(texts[end])
                     end += 1
                 out = {k: [] for k in ("doc_id", "row_id", "piece", "start", "length", "ids_crc32")}
-                for i, found in zip(range(at, end), tok.encode_batch_fast(texts[at:end], add_special_tokens=False), strict=True):
-                    ids = np.append(np.asarray(found.ids, np.int64), end_id)
-                    for j, (start, length, crc) in enumerate(cut(ids, capacity)):
+                for i, found in zip(range(at, end), encoder(texts[at:end]), strict=True):
+                    for j, (start, length, crc) in enumerate(cut(found + end_bytes, capacity)):
                         for k, v in zip(out, (ids_col[i], rows_col[i], j, start, length, crc), strict=True):
                             out[k].append(v)
                 yield pa.RecordBatch.from_pydict(

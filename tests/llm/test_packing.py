@@ -105,3 +105,28 @@ def test_packed_documents(spark):
 
 def test_empty_table(spark):
     assert packing.packed(frame(spark, []), TOKENIZER).count() == 0
+
+
+def test_words_are_asked_once_and_give_the_ids_of_whole_texts(spark, small_dir, monkeypatch):
+    texts = [r.text or "" for r in spark.read.parquet(f"{small_dir}/documents.parquet").select("text").limit(300).collect()]
+    texts += ["", "it's the dog's day \U0001f600 <|endoftext|> end\x1c of\x85 it", "e ́x ΣΑΣ İ 'S'll x'd ﬀ Ⅷ",
+              "<|endof <|endoftext|>tail<|startoftext|>x |> <|", "\t\n 12 3.4.5\r\n\x0b\x0cx\x1fy z", "x" * 30_000, "H\u0331x. HÉ, É;; É×, ×. ’, a!,b .,a a.b.c",
+              "It'S, THE 'LL! \u212a A <|a.endoftext|>. <|EndofText|>!", "<|startoftext|"]
+    encoder = packing.WordIds(TOKENIZER)
+    assert encoder.apart
+    plain = Tokenizer.from_file(TOKENIZER)
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    asked = []
+    ask = encoder.asked
+    monkeypatch.setattr(encoder, "asked", lambda new: asked.extend(new) or ask(new))
+    raw = [t.encode() for t in texts]
+    assert encoder(raw[:100]) + encoder(raw[100:]) + encoder(raw[-7:]) == want + want[-7:]
+    assert len(asked) == len(set(asked)) == len({w for t in raw for w in encoder.words(t)})
+    monkeypatch.setattr(packing, "KEPT_BYTES", 0)
+    fresh = packing.WordIds(TOKENIZER)
+    assert fresh(raw[:100]) + fresh(raw[100:]) == want and not fresh.known
+    # A tokenizer whose pieces hold spaces gets whole texts.
+    other = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.apart
+    byte_level = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert other(raw) == [np.array(byte_level.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

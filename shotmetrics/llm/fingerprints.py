@@ -164,23 +164,25 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     own next. Each of several rows with one doc_id is kept, and the greatest of
     their texts is what the document before it is given.
 
-    The texts are shuffled once, by id, for both joins; the given starts, a
-    third of the text at most, and the next documents' vectors once more.
+    The vector of a text is summed once, where the text is read, for both its
+    own row and the document before it. Texts and vectors are shuffled once, by
+    id, for both joins; the given starts, a third of the text at most, and the
+    next documents' vectors once more.
     """
-    keyed = docs.select(_key().alias("key"), whole_text().alias("text"))
+    keyed = with_vector(docs.select(_key().alias("key"), whole_text().alias("text")), "text", "vector")
     givers = keyed
     if docs.groupBy(_key()).count().filter("count > 1").limit(1).count():
-        givers = keyed.groupBy("key").agg(F.max("text").alias("text"))
+        givers = keyed.groupBy("key").agg(F.max(F.struct("text", "vector")).alias("given")).select("key", "given.*")
     pairs = next_documents(docs).select(F.col("key").alias("taker"), "n_chars", "next_key")
     given = givers.join(pairs, F.col("key") == F.col("next_key"))
-    starts = with_vector(given, "text", "vector_next").select(
-        "taker", F.substr("text", F.lit(1), F.floor(F.col("n_chars") / 3).cast("int")).alias("start"), "vector_next"
+    starts = given.select(
+        "taker", F.substr("text", F.lit(1), F.floor(F.col("n_chars") / 3).cast("int")).alias("start"), F.col("vector").alias("vector_next")
     )
     rows = keyed.join(starts, F.col("key") == F.col("taker")).withColumn("n_chars", F.length("text").cast("bigint"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     kept_part = F.substr("text", F.lit(1), (F.col("n_chars") - cut).cast("int"))
     texts = rows.withColumn("edited", F.concat(kept_part, F.substr("start", F.lit(1), cut)))
-    out = with_vector(with_vector(texts, "text", "vector"), "edited", "vector_edited")
+    out = with_vector(texts, "edited", "vector_edited")
     return out.select(
         F.nullif("key", F.lit(-(1 << 63)).cast("bigint")).alias("doc_id"),
         "n_chars",

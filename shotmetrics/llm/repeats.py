@@ -53,8 +53,13 @@ class Representatives:
         pieces = np.zeros(len(words) - self.piece + 1, np.uint64)
         for i in range(self.piece):
             pieces = mixed(pieces * _STEP + codes[i : i + len(pieces)])
-        seen = np.lib.stride_tricks.sliding_window_view(pieces, self.width - self.piece + 1)
-        return seen.min(axis=1).view(np.int64)
+        # Least of so many neighbours: spans double until one more overlapping pair covers them.
+        span, wanted = 1, self.width - self.piece + 1
+        while span < wanted:
+            step = min(span, wanted - span)
+            pieces = np.minimum(pieces[:-step], pieces[step:])
+            span += step
+        return pieces.view(np.int64)
 
 
 class SuffixAutomaton:
@@ -110,17 +115,23 @@ class SuffixAutomaton:
 
     def finish(self) -> SuffixAutomaton:
         """Hand the least documents down to the shorter sequences."""
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            up = self.link[state]
-            self.least[up] = min(self.least[up], self.least[state])
+        link, least = self.link, self.least
+        # Longest first; the root, the only empty sequence, is left out.
+        for state in np.argsort(self.length)[:0:-1].tolist():
+            up = link[state]
+            if least[state] < least[up]:
+                least[up] = least[state]
         return self
 
     def matched(self, doc: int, words: list[bytes], width: int) -> list[int]:
         """Starts of the windows that stand in a reference of a smaller document."""
         follow, link, length, least = self.next, self.link, self.length, self.least
-        state, size, out = 0, 0, []
+        state, size, out, codes = 0, 0, [], self.codes
         for at, word in enumerate(words):
-            code = self.codes.get(word, -1)
+            code = codes.get(word)
+            if code is None:
+                state = size = 0
+                continue
             while state and code not in follow[state]:
                 state = link[state]
                 size = length[state]
@@ -209,9 +220,11 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 place = np.minimum(np.searchsorted(asked_marks, marks), len(order) - 1)
                 hit = np.flatnonzero(asked_marks[place] == marks)
                 first = firsts[place[hit]]
-                for f in np.unique(first).tolist():
-                    copies = int(copy_counts[firsts == f][0])
-                    for a, b in _runs(hit[first == f]):
+                by_first = np.argsort(first, kind="stable")
+                each, starts = np.unique(first[by_first], return_index=True)
+                for f, mine in zip(each.tolist(), np.split(hit[by_first], starts[1:]), strict=False):
+                    copies = int(copy_counts[place[mine[0]]])
+                    for a, b in _runs(mine):
                         stretch = b" ".join(words[a : b + width])
                         where = range(copies) if f == doc else [(doc + a) % copies]
                         out += [(xxhash.xxh64_intdigest(f"{f}:{c}") % shards, f, doc, text_key, a, stretch) for c in where]

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting, newton
-from .features import feature_stages, model_frame, split_group
-from .lineage import checkpointed
+from .features import feature_stages, model_frame
 
 SEED = 42
 # Settings of the boosted model.
@@ -20,8 +19,6 @@ BOOST_ROWS = 0.9
 BOOST_COLUMNS = 0.9
 BOOST_MIN_WEIGHT = 2.0
 BOOST_L2 = 1.0
-# Bound of the boosted fit: so many labelled rows, in whole games chosen by a hash.
-FIT_ROWS = 40_000
 
 
 def fit_logistic(train: DataFrame, n_rows: int, max_iter: int = 100) -> PipelineModel:
@@ -32,25 +29,13 @@ def fit_logistic(train: DataFrame, n_rows: int, max_iter: int = 100) -> Pipeline
     return PipelineModel(stages=[*features.stages, model])
 
 
-def bounded_sample(train: DataFrame, n_rows: int, bound: int) -> DataFrame:
-    """About so many rows, in whole groups of the split, chosen by a hash of the group; written once, as the fit reads them often."""
-    if n_rows <= bound:
-        return train
-    number = F.conv(F.substring(F.md5(F.concat(split_group(train), F.lit("fit"))), 1, 8), 16, 10).cast("bigint")
-    return checkpointed(train.where(number < int(bound / n_rows * 2**32)))
-
-
-def fit_boosted(
-    train: DataFrame, rounds: int = BOOST_ROUNDS, depth: int = BOOST_DEPTH, fit_rows: int = FIT_ROWS
-) -> PipelineModel:
+def fit_boosted(train: DataFrame, rounds: int = BOOST_ROUNDS, depth: int = BOOST_DEPTH) -> PipelineModel:
     """Second-order histogram boosting on logistic loss (operators/boosting.py), after the feature stages.
 
-    At most about ``fit_rows`` labelled rows are fitted, in whole games chosen
-    by a hash; every level of every tree is counted over all of the session's
-    shuffle tasks and merged by a grouped sum.
+    All labelled rows are fitted; those with equal binned features are counted
+    together, over all of the session's shuffle tasks.
     """
-    n_rows = train.count()
-    rows = model_frame(bounded_sample(train, n_rows, fit_rows))
+    rows = model_frame(train)
     features = feature_stages().fit(rows)
     key = "shot_id" if "shot_id" in train.columns else None
     boosted = boosting.fit(

@@ -23,7 +23,7 @@ def many_shots(spark, small_dir):
     return checkpointed(copies.withColumns(keys).drop("_k"))
 
 
-@pytest.mark.parametrize("name", ["model_checks", "model_metrics"])
+@pytest.mark.parametrize("name", ["model_checks", "model_metrics", "score_boosted"])
 def test_the_boosted_model_is_fitted_on_every_training_row(spark, many_shots, monkeypatch, name):
     plain, fits = boosting.fit, []
 
